@@ -31,6 +31,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+OP2 = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w
+    FROM documents
+), wins AS (
+    SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+    FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+), again AS (
+    SELECT r, i FROM wins WHERE h IN (SELECT h FROM wins GROUP BY h HAVING count(*) > 1)
+), gone AS (
+    SELECT r, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM again GROUP BY r
+), kept AS (
+    SELECT doc_id, len(w) AS n, coalesce(len(g), 0) AS m,
+           CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(g, j)) END AS k
+    FROM docs LEFT JOIN gone USING (r)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed,
+       sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
 _TRIM = "trim(x, ' ' || chr(9) || chr(13))"
 
 OP10 = f"""
@@ -52,4 +74,4 @@ FROM cut
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op10_line_dedup": OP10}
