@@ -53,6 +53,25 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed,
 FROM kept
 """
 
+OP4 = """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+    SELECT r, vec_id, label, e FROM v
+    WHERE e IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.r AS a, b.r AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), comp AS (
+    SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a
+), n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp USING (r) LEFT JOIN n USING (r)
+"""
+
 _TRIM = "trim(x, ' ' || chr(9) || chr(13))"
 
 OP10 = f"""
@@ -74,4 +93,5 @@ FROM cut
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op10_line_dedup": OP10}
+    return {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op4_embedding_dedup": OP4,
+        "op10_line_dedup": OP10}

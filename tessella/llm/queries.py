@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, linedup, simhash, substring, suffix, toxicity
+from . import bpe, decontaminate, linedup, simhash, substring, suffix, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(_table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op5_suffix_dedup, op6_toxicity, op7_bpe, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_embedding_dedup, op5_suffix_dedup, op6_toxicity, op7_bpe, op10_line_dedup)}

@@ -166,11 +166,12 @@ def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def with_components(own: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds ``_component`` and ``_root``, a fingerprint that names the component, to stashed fingerprints."""
     least = stash(own.groupBy("_fp").agg(F.min(F.col(f"_row.`{id_col}`")).alias("_least")))
     roots = stash(connected_components(links(least.select("_fp"))))
     named = least.join(roots, least["_fp"] == roots["u"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     lowest = named.groupBy("_root").agg(F.min("_least").alias("_component"))
-    final = named.join(lowest, "_root").select("_fp", "_component")
+    final = named.join(lowest, "_root").select("_fp", "_root", "_component")
     return own.join(final, "_fp")
 
 
