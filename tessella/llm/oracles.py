@@ -92,6 +92,36 @@ FROM cut
 """
 
 
+def _licenses() -> str:
+    from .licenses import SHINGLE, TEMPLATES, shingles, template_words, window_of
+
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        words = template_words(text)
+        width, step = window_of(len(words))
+        grams = sorted({g.decode() for g in shingles(words)})
+        rows += [f"('{name}', '{g}', {width}, {step}, {len(grams)})" for g in grams]
+    return f"""
+WITH t(license, gram, width, step, size) AS (VALUES {", ".join(rows)}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+grams AS (
+    SELECT r, i - 1 AS p, array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' ') AS gram
+    FROM (SELECT r, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM docs WHERE len(w) >= {SHINGLE})
+), seen AS (SELECT r, p, license, t.gram, width, step, size FROM grams JOIN t USING (gram)
+), wins AS (
+    SELECT r, license, gram, size,
+           unnest(range(CAST(greatest(0, ceil((p - width + {SHINGLE}) / step)) AS BIGINT), p // step + 1)) AS k
+    FROM seen
+), found AS (
+    SELECT DISTINCT r, license FROM (
+        SELECT r, license, k FROM wins GROUP BY r, license, k, size HAVING count(DISTINCT gram) >= 0.8 * size)
+), named AS (SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS l FROM found GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(l, '') AS licenses
+FROM docs LEFT JOIN named USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": OP1, "op2_substring_dedup": OP2, "op4_embedding_dedup": OP4,
+        "op8_licenses": _licenses(),
         "op10_line_dedup": OP10}

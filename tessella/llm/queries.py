@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, linedup, simhash, substring, suffix, toxicity, vectors
+from . import bpe, decontaminate, licenses, linedup, pii, simhash, substring, suffix, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_embedding_dedup, op5_suffix_dedup, op6_toxicity, op7_bpe, op10_line_dedup)}
+    own = (
+        op1_decontaminate, op2_substring_dedup, op3_simhash, op4_embedding_dedup, op5_suffix_dedup,
+        op6_toxicity, op7_bpe, op8_licenses, op9_pii, op10_line_dedup,
+    )
+    return {f.__name__: f for f in own}
