@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import chunked
 
-#: Pieces whose encodings a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Pieces between white space, and their words, whose encodings a worker remembers in each generation.
+REMEMBERED = 400_000
 #: Documents decoded at once.
 DECODE_ROWS = 128
 # What counts as white space to the vocabulary's normaliser.
@@ -71,40 +71,77 @@ class Codec(dict):
         self.vocab: dict[str, int] = spec["vocab"]
         self.suffix: str = spec["suffix"]
         self.special: dict[str, int] = spec["special"]
-        self.ranks = {pair: i for i, pair in enumerate(spec["merges"])}
-        self.letters = byte_letters()
+        self.shift = max(self.vocab.values()).bit_length()
+        #: rank of a pair of ids packed in one int, and the id that the pair of a rank becomes
+        self.rank = {self.vocab[a] << self.shift | self.vocab[b]: r for r, (a, b) in enumerate(spec["merges"])}
+        self.made = [self.vocab[a + b] for a, b in spec["merges"]]
+        letters = byte_letters()
+        self.inner = [self.vocab[c] for c in letters]
+        self.last = [self.vocab[c + self.suffix] for c in letters]
+        self.older: dict[str, list[int]] = {}
         self.words = regex.compile(spec["pattern"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.names = dict((i, t) for t, i in chain(self.vocab.items(), self.special.items()))
 
     def merge(self, word: str) -> list[int]:
-        """Token ids of one word of the split pattern."""
-        sym: list[str | None] = [self.letters[b] for b in word.encode()]
-        sym[-1] += self.suffix
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(r, i) for i in range(n - 1) if (r := self.ranks.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(queue)
+        """Token ids of one word of the split pattern.
+
+        Symbols are a doubly linked list; a queue holds rank and place of the pairs that can merge.
+        An entry whose pair has changed since is stale and skipped.
+        """
+        raw = word.encode()
+        n = len(raw)
+        sym = [self.inner[b] for b in raw]
+        sym[-1] = self.last[raw[-1]]
+        if n == 1:
+            return sym
+        rank, made, shift = self.rank.get, self.made, self.shift
+        place = 14 if n < 1 << 14 else n.bit_length()  # bits of a queue entry that hold the place
+        queue = [r << place | i for i in range(n - 1) if (r := rank(sym[i] << shift | sym[i + 1])) is not None]
+        if not queue:
+            return sym
+        heapify(queue)
+        left, right, at = list(range(-1, n - 1)), list(range(1, n + 1)), (1 << place) - 1
         while queue:
-            rank, i = heapq.heappop(queue)
-            j = right[i] if sym[i] is not None else n
-            if j >= n or self.ranks.get((sym[i], sym[j])) != rank:
-                continue  # stale: one of the two has merged since
-            sym[i], sym[j] = sym[i] + sym[j], None
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-                if (r := self.ranks.get((sym[i], sym[right[i]]))) is not None:
-                    heapq.heappush(queue, (r, i))
-            if left[i] >= 0 and (r := self.ranks.get((sym[left[i]], sym[i]))) is not None:
-                heapq.heappush(queue, (r, left[i]))
-        return [self.vocab[s] for s in sym if s is not None]
+            entry = heappop(queue)
+            i = entry & at
+            r = entry >> place
+            j = right[i]
+            if j >= n or sym[i] < 0 or rank(sym[i] << shift | sym[j]) != r:
+                continue
+            a = sym[i] = made[r]
+            sym[j] = -1
+            j = right[i] = right[j]
+            if j < n:
+                left[j] = i
+                if (r := rank(a << shift | sym[j])) is not None:
+                    heappush(queue, r << place | i)
+            j = left[i]
+            if j >= 0 and (r := rank(sym[j] << shift | a)) is not None:
+                heappush(queue, r << place | j)
+        return [s for s in sym if s >= 0]
+
+    def split(self, piece: str) -> list[str]:
+        """The words that the pattern finds in a piece; for the two most usual kinds without it."""
+        if piece.isalpha():
+            return [piece]
+        if piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.words.findall(piece)
 
     def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = [i for w in self.words.findall(piece) for i in self.merge(w)]
+        """Pieces and words of late are remembered in two generations, so that frequent ones stay."""
+        ids = self.older.get(piece)
+        if ids is None:
+            words = self.split(piece)
+            if len(words) == 1:
+                ids = self.merge(words[0])
+            else:
+                ids = [i for w in words for i in self[w]]
         if len(piece) < 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -149,11 +186,12 @@ def share(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(load(path or default_path()))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, special: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
     """``_row`` (struct of the document's columns) and ``_ids``, the token ids of its whole text.
 
     Null and empty texts have no tokens. No special tokens are added; their strings inside a text
-    become their ids, as the library does. The shuffle-free pass keeps one chunk in memory.
+    become their ids, as the library does. With ``decoded``, the text decoded from the ids follows.
+    There is no shuffle, and a worker keeps one chunk of documents in memory.
     """
     spec = share(docs.sparkSession, path)
 
@@ -166,10 +204,13 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, spe
                 flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(size.sum()))
                 first = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(first), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), ids], names=["_row", "_ids"])
+                out = {"_row": part.column("_row"), "_ids": ids}
+                if decoded:
+                    out["_decoded"] = pa.array(map(codec.decode, rows), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    schema = rows.select("_row", F.array().cast("array<int>").alias("_ids")).schema
+    schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), *[F.lit("").alias("_decoded")] * decoded).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -189,9 +230,14 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select("_row", "_ids").mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass over the documents."""
+    return encode(docs, text_col, path, decoded=True)
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``_row`` with token count and hashes of ids and decoded text."""
-    both = decode(encode(docs, path=path), path)
+    both = round_trip(docs, path=path)
     return both.select(
         "_row",
         F.size("_ids").cast("long").alias("n_tokens"),
