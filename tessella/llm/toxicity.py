@@ -16,8 +16,9 @@ from .decontaminate import TABLE
 
 #: Labelled rows that the examples are drawn from, at most: those of least hash.
 MAX_EXAMPLES = 20_000
-#: Terms kept, at most, and the chi-square by which a term must tell the labels apart.
-MAX_TERMS, MIN_CHI2, MIN_SUPPORT = 8192, 15.0, 4
+#: Terms kept, at most; the chi-square by which a term must tell the labels apart; how many times as
+#: often as in all examples the label must be 1 among those with the term; and how many have it.
+MAX_TERMS, MIN_CHI2, MIN_LIFT, MIN_SUPPORT = 8192, 15.0, 3.0, 4
 #: Neighbours that vote, and examples in an index block.
 NEIGHBOURS, BLOCK = 25, 64
 #: Lengths of the word beginnings that are terms beside the words.
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     chi2 = F.lit(n) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * float(n1 or 1) * float(n0 or 1), F.lit(1.0))
     best = (
         sums.where(F.col("a") + F.col("b") >= MIN_SUPPORT).withColumn("x", chi2).where(F.col("x") >= MIN_CHI2)
+        .where(a / (a + b) >= MIN_LIFT * float(n1) / max(1.0, n))
         .orderBy(F.desc("x"), "term").limit(MAX_TERMS).select("term").collect()
     )
     vocabulary = {bytes(r[0]): i for i, r in enumerate(best)}
