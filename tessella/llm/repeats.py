@@ -7,9 +7,12 @@ all of them without comparing pairs:
    have an equal anchor at the same place inside. Anchors are sorted by (anchor hash, hull hash),
    the hull being the stretch that holds every window with that anchor. Equal hulls prove all their
    windows repeated; an anchor alone with its hash is dropped; what differs in the hull is open.
-2. Open windows (and those of one hull of each repeated kind, as partners) are named and sorted by
-   name; a name that comes twice is a repeat.
-3. Marks are gathered by document and merged to intervals.
+2. Where a hull holds many windows, the open ones are cut into nodes of fewer consecutive windows,
+   sorted by (hash of what the node's windows have in common, hash of the node's hull) and settled
+   the same way: a node alone with its common part has no repeat, an equal hull proves the node.
+3. Windows still open (and those of one hull of each repeated kind, as partners) are named and
+   sorted by name; a name that comes twice is a repeat.
+4. Marks are gathered by document and merged to intervals.
 
 Each sort is Spark's own, so it spills; the Python side walks sorted rows and keeps little. What
 repeats inside a chunk of documents is settled there, so that frequent content sends one row a chunk.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, chunked, doc_key, mix, stash, utf8
+from .common import bounded, chunked, doc_key, mix, stash, utf8
 
 #: Rows of one anchor that are held at once; more of them are settled in parts.
 GROUP_ROWS = 1 << 17
@@ -181,13 +184,15 @@ def _per_document(batches: Iterator[pa.RecordBatch], make: Callable, names: list
         yield packed([make(*held)])
 
 
-def _intervals(reach: int) -> Callable:
-    """From a document's anchors in order: intervals of proven and of open window starts."""
+def _tops(width: int) -> Callable:
+    """From a document's anchors or nodes in order: intervals of proven window starts, and the open ones.
+
+    An anchor or node at p stands for the window starts from p - width to p.
+    """
 
     def document(ids, ts, p, s):
-        lo = np.maximum(0, p - reach)
-        m, o = (s & HULL) > 0, (s & OPEN) > 0
-        return int(ids[0]), int(ts[0]), _merged(lo[m], p[m]), _merged(lo[o], p[o])
+        m = (s & HULL) > 0
+        return int(ids[0]), int(ts[0]), _merged(np.maximum(0, p[m] - width), p[m]), np.unique(p[(s & OPEN) > 0]).tolist()
 
     def run(batches):
         yield from _per_document(batches, document, ["_id", "_t", "marks", "open"])
@@ -202,33 +207,45 @@ def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _per_document(batches, document, ["_id", "_t", "marks"])
 
 
-def _by_document(rows: DataFrame, reach: int, n: int) -> DataFrame:
+def _by_document(rows: DataFrame, width: int, n: int) -> DataFrame:
     return (
         rows.repartition(n, "_id", "_t").sortWithinPartitions("_id", "_t", "p")
-        .mapInArrow(_intervals(reach), "_id long, _t long, marks array<int>, open array<int>")
+        .mapInArrow(_tops(width), "_id long, _t long, marks array<int>, open array<int>")
     )
 
 
-def _ranges(flat: list[int], last: int) -> np.ndarray:
-    """Positions in the intervals, none beyond ``last``."""
-    parts = [np.arange(lo, min(hi, last) + 1) for lo, hi in zip(flat[::2], flat[1::2], strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+def _node_rows(spec, before: int, width: int) -> Callable:
+    """Rows of the nodes of ``width`` + 1 windows that the open nodes of ``before`` + 1 are cut into."""
 
+    def run(batches):
+        for part, texts, ids, ts in _docs(batches):
+            units = spec.units(texts)
+            doc, at = [], []
+            for i, tops in enumerate(part.column("open").to_pylist()):
+                q = np.unique((np.array(tops)[:, None] - np.arange(0, before + 1, width + 1)[None, :]).reshape(-1))
+                q = q[(q >= 0) & (np.maximum(q - width, 0) <= units.n[i] - spec.window)]
+                doc.append(np.full(len(q), i))
+                at.append(q)
+            doc, at = np.concatenate(doc), np.concatenate(at)
+            if len(at):
+                yield _emit(*spec.nodes(units, doc, at, width), ids[doc], ts[doc], at)
 
-def _window_rows(spec) -> Callable:
+    return run
+
+
+def _window_rows(spec, width: int) -> Callable:
     def run(batches):
         for part, texts, ids, ts in _docs(batches):
             units = spec.units(texts)
             doc, at = [], []
-            for i, flat in enumerate(part.column("open").to_pylist()):
-                if flat:
-                    r = _ranges(flat, int(units.n[i]) - spec.window)
-                    doc.append(np.full(len(r), i))
-                    at.append(r)
-            if at and sum(map(len, at)):
-                doc, at = np.concatenate(doc), np.concatenate(at)
-                a, b = spec.names(units, doc, at)
-                yield _emit(a, b, ids[doc], ts[doc], at)
+            for i, tops in enumerate(part.column("open").to_pylist()):
+                r = np.unique((np.array(tops)[:, None] - np.arange(width + 1)[None, :]).reshape(-1))
+                r = r[(r >= 0) & (r <= units.n[i] - spec.window)]
+                doc.append(np.full(len(r), i))
+                at.append(r)
+            doc, at = np.concatenate(doc), np.concatenate(at)
+            if len(at):
+                yield _emit(*spec.names(units, doc, at), ids[doc], ts[doc], at)
 
     return run
 
@@ -269,35 +286,39 @@ def keyed(docs: DataFrame, text_col: str, whole_row: bool = False) -> DataFrame:
     return docs.select(*row, *doc_key("doc_id", text_col), F.col(text_col).alias("_text"))
 
 
-def open_and_marks(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
-    """Step 1: for each document with repeated anchors, intervals of proven and of open window starts."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = keyed(docs, text_col).where("_text is not null").mapInArrow(_anchor_rows(spec), ROW_DDL)
-    return stash(_by_document(_sorted_walk(anchors, _settle_anchors, n), spec.reach, n))
-
-
 def remove_repeats(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
     """Documents without the units that a repeated window covers.
 
     Returns ``_row`` (struct of the document's columns), ``_kept`` (binary), ``_n`` (units),
     ``_n_removed`` and ``_n_spans`` (maximal runs removed). Null texts count as empty. Rows that
-    repeat id and text are separate documents, so each is a repeat of the other.
+    repeat id and text are separate documents, so each is a repeat of the other. Texts are read
+    again for each step; between the steps only positions are kept.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = open_and_marks(docs, spec, text_col)
-    todo = first.where(F.size("open") > 0).select("_id", "_t", "open")
-    windows = keyed(docs, text_col).join(bounded(todo), ["_id", "_t"]).select("_id", "_t", "_text", "open")
-    again = _sorted_walk(windows.mapInArrow(_window_rows(spec), ROW_DDL), _settle_windows, n)
-    proven = first.where(F.size("marks") > 0).select(
-        "_id", "_t", F.explode(F.expr("transform(sequence(0, size(marks) div 2 - 1), i -> struct(marks[2*i] as lo, marks[2*i+1] as hi))")).alias("r")
-    )
-    starts = again.select("_id", "_t", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    found = starts.unionByName(proven.select("_id", "_t", "r.lo", "r.hi"))
+    texts = keyed(docs, text_col)
+
+    def opened(found: DataFrame) -> DataFrame:
+        todo = found.where(F.size("open") > 0).select("_id", "_t", "open")
+        return texts.join(bounded(todo), ["_id", "_t"]).select("_id", "_t", "_text", "open")
+
+    anchors = texts.where("_text is not null").mapInArrow(_anchor_rows(spec), ROW_DDL)
+    width = spec.reach
+    steps = [stash(_by_document(_sorted_walk(anchors, _settle_anchors, n), width, n))]
+    for narrower in spec.levels:
+        nodes = opened(steps[-1]).mapInArrow(_node_rows(spec, width, narrower), ROW_DDL)
+        width = narrower
+        steps.append(stash(_by_document(_sorted_walk(nodes, _settle_anchors, n), width, n)))
+    again = _sorted_walk(opened(steps[-1]).mapInArrow(_window_rows(spec, width), ROW_DDL), _settle_windows, n)
+    found = again.select("_id", "_t", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    pair = "transform(sequence(0, size(marks) div 2 - 1), i -> struct(marks[2*i] as lo, marks[2*i+1] as hi))"
+    for step in steps:
+        proven = step.where(F.size("marks") > 0).select("_id", "_t", F.explode(F.expr(pair)).alias("r"))
+        found = found.unionByName(proven.select("_id", "_t", "r.lo", "r.hi"))
     marks = stash(
         found.repartition(n, "_id", "_t").sortWithinPartitions("_id", "_t", "lo")
         .mapInArrow(_merge_marks, "_id long, _t long, marks array<int>")
     )
     whole = keyed(docs, text_col, whole_row=True)
-    joined = whole.join(bounded(marks, limit=BROADCAST_ROWS), ["_id", "_t"], "left").select("_row", "_id", "_t", "_text", "marks")
+    joined = whole.join(bounded(marks), ["_id", "_t"], "left").select("_row", "_id", "_t", "_text", "marks")
     out = joined.select("_row", F.lit(b"").alias("_kept"), *[F.lit(0).cast("long").alias(c) for c in ("_n", "_n_removed", "_n_spans")])
     return joined.mapInArrow(_cut(spec), out.schema)

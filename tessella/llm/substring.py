@@ -26,6 +26,8 @@ class CoverSpec:
     """
 
     window: int = WINDOW
+    #: A hull holds few windows, which are named one by one.
+    levels: tuple[int, ...] = ()
 
     @property
     def reach(self) -> int:

@@ -50,6 +50,8 @@ class BucketSpec:
 
     window: int = WINDOW
     gram: int = GRAM
+    #: Buckets are refined first for nodes of this many consecutive suffixes, less one.
+    levels: tuple[int, ...] = (50, 7)
 
     @property
     def reach(self) -> int:
@@ -87,22 +89,30 @@ class BucketSpec:
         b = mix(hull + (p - lo).astype(U64) * _STEP[0] + (hi - p).astype(U64))
         return doc, p, h[base + p], b
 
+    def nodes(self, u: Bytes, doc: np.ndarray, q: np.ndarray, width: int):
+        """Identifiers of what the strings at q - width to q have in common, and of all they hold."""
+        base = u.first[doc]
+        plain, other = (prefix(u.bytes + np.uint8(1), k) for k in (0, 1))
+        common = between(plain, base + q, base + q - width + self.window, 0)
+        lo, hi = np.maximum(0, q - width), np.minimum(u.n[doc], q + self.window)
+        hull = between(other, base + lo, base + hi, 1)
+        return common, mix(hull + (q - lo).astype(U64) * _STEP[0] + (hi - q).astype(U64))
+
     def names(self, u: Bytes, doc: np.ndarray, at: np.ndarray):
         """Bucket identifiers of the suffixes (doc, at), refined to ``window`` bytes."""
         start = u.first[doc] + at
-        # runs of consecutive suffixes share their refinement
-        cut = np.flatnonzero(np.append(True, np.diff(start) != 1))
-        end = np.append(cut[1:], len(start))
-        out = np.zeros((2, len(start)), dtype=U64)
-        for i, j in zip(cut.tolist(), end.tolist(), strict=True):
-            piece = u.bytes[start[i] : start[j - 1] + self.window]
-            for k in (0, 1):
-                out[k, i:j] = self._refine(piece, k)
-        return out[0], out[1]
-
-    def _refine(self, piece: np.ndarray, k: int) -> np.ndarray:
+        # suffixes near each other share their bytes' refinement; the stretches are laid side by side
+        cut = np.flatnonzero(np.append(True, np.diff(start) > self.window))
+        lo, hi = start[cut], start[np.append(cut[1:], len(start)) - 1] + self.window
+        size = hi - lo
+        first = np.cumsum(size) - size
+        pieces = u.bytes[np.repeat(lo - first, size) + np.arange(size.sum())]
+        place = np.repeat(first - lo, np.diff(np.append(cut, len(start)))) + start
+        return tuple(self._refine(pieces, k)[place] for k in (0, 1))
+
+    def _refine(self, pieces: np.ndarray, k: int) -> np.ndarray:
         have = 8
-        ids = np.lib.stride_tricks.sliding_window_view(piece, have).copy().view(U64).reshape(-1)
+        ids = np.lib.stride_tricks.sliding_window_view(pieces, have).copy().view(U64).reshape(-1)
         while have * 2 <= self.window:
             ids = mix(ids[:-have] * _STEP[k] + ids[have:])
             have *= 2
