@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,12 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> tuple[DataFrame, int]:
+    """A small frame kept by the executors, and its rows; what a lost executor held is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count()
+
+
 def unstash(df: DataFrame) -> None:
     """Delete the files of a stashed frame that nothing will read again."""
     for path in df.inputFiles()[:1]:

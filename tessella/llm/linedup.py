@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, stash
+from .common import BROADCAST_ROWS, bounded, held
 
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 10
@@ -42,9 +42,9 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     rows = docs.where(F.col(text_col).isNotNull() & F.col(site_col).isNotNull()).select(
         F.col(site_col).alias("site"), F.explode(line_keys(F.col(text_col))).alias("k")
     ).where("k is not null").select("site", "k.a", "k.b")
-    often = stash(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("a", "b"))
-    rows = rows.join(bounded(often), ["a", "b"], "left_semi")
-    spread = stash(
+    often = held(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("a", "b"))
+    rows = rows.join(bounded(*often), ["a", "b"], "left_semi")
+    spread, _ = held(
         rows.groupBy("a", "b").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
         .select("a", "b", F.hll_sketch_estimate("sketch").alias("sites"))
     )
@@ -66,8 +66,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source
     Blank lines are never removed. A document of boilerplate only keeps an empty text. Repeated
     documents are each treated alike.
     """
-    bad = stash(boilerplate(docs, text_col, site_col, min_sites))
-    n_bad = bad.count()
+    bad, n_bad = held(boilerplate(docs, text_col, site_col, min_sites))
     text = F.col(text_col)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -78,11 +77,11 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source
     lines = docs.where(text.isNotNull()).select(
         F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2"), F.explode(line_keys(text)).alias("k")
     ).where("k is not null").select("_t1", "_t2", "k.a", "k.b")
-    hits = stash(
+    hits, n_hits = held(
         lines.join(bounded(bad, n_bad), ["a", "b"]).groupBy("_t1", "_t2")
         .agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
     )
-    joined = rows.join(bounded(hits, limit=BROADCAST_ROWS // 2), ["_t1", "_t2"], "left")
+    joined = rows.join(bounded(hits, n_hits, BROADCAST_ROWS // 2), ["_t1", "_t2"], "left")
     all_lines = F.split("_text", "\n", -1)
     kept = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), F.struct(F.xxhash64(_line(x)).alias("a"), F.xxhash64(F.lit(7), _line(x)).alias("b"))), F.lit(False)) | (_line(x) == ""))
     sized = joined.select(
