@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, dice, iou, lit
+from ..lineage import written
 from .raster import KEY, disk, erode, otsu
 
 
@@ -279,21 +280,19 @@ def clusters(stats: DataFrame, eps: float = 50.0, key: Sequence[str] = KEY, roun
     """Component clusters: centroids within eps are linked, links are transitive.
 
     Neighbours come from a grid of width eps; the smallest label then spreads, with pointer
-    jumping, until nothing changes. Each round is checkpointed where a folder is set.
+    jumping, until nothing changes. Each round is written, so lineage stays short.
     """
     own = stats.select(*key, "label", "cx", "cy", "area")
     pairs = close_pairs(own.withColumnsRenamed({"cx": "x", "cy": "y", "label": "pid"}).select(*key, "pid", "x", "y"), eps, key)
     both = pairs.select(*key, F.col("i").alias("u"), F.col("j").alias("v"))
     both = both.unionByName(both.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))).persist()
     names = own.select(*key, "label", F.col("label").alias("cluster"))
-    spark = stats.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     for _ in range(rounds):
         near = both.join(names.select(*key, F.col("label").alias("v"), "cluster"), [*key, "v"]).groupBy(*key, F.col("u").alias("label")).agg(F.min("cluster").alias("low"))
         step = names.join(near, [*key, "label"], "left").select(*key, "label", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.coalesce("low", "cluster") < F.col("cluster")).alias("moved"))
         jump = step.select(*key, F.col("label").alias("cluster"), F.col("cluster").alias("next"))
         step = step.join(jump, [*key, "cluster"]).select(*key, "label", F.col("next").alias("cluster"), "moved")
-        step = step.checkpoint() if folder else step.persist()
+        step = written(step)
         moved = step.where("moved").limit(1).count()
         names = step.drop("moved")
         if not moved:

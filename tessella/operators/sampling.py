@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lit
+from ..lineage import written
 from .masks import close_pairs
 
 
@@ -83,7 +84,6 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
     Points meet in grid cells only. A point enters when no nearer one of lower order is undecided or
     in; rounds go on until all are decided, so the result doesn't depend on partitions.
     """
-    spark = points.sparkSession
     own = points.withColumn("rank", F.xxhash64("pid", F.lit(seed))).persist()
     pairs = close_pairs(own.select("pid", "x", "y"), min_dist).where(F.col("d2") < min_dist * min_dist)
     ranks = own.select("pid", "rank")
@@ -91,7 +91,6 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
     first = (F.col("ri") < F.col("rj")) | ((F.col("ri") == F.col("rj")) & (F.col("i") < F.col("j")))
     before = pairs.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")).persist()
     state = own.select("pid", F.lit(0).alias("s"))  # 0 undecided, 1 in, 2 out
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     for _ in range(200):
         above = before.join(state.select(F.col("pid").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("pid")).agg(
             F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("waits")
@@ -100,7 +99,7 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
             "pid",
             F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("blocked", F.lit(0)) == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0).alias("s"),
         )
-        state = step.checkpoint() if folder else step.persist()
+        state = written(step)
         if not state.where("s = 0").limit(1).count():
             break
     kept = own.join(state.where("s = 1").select("pid"), "pid", "left_semi")
@@ -153,11 +152,12 @@ def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20
     spots = coords.select(F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"), (F.row_number().over(turn) - 1).alias("spot")).persist()
     now = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     for i in range(rounds):
-        late = close_pairs(now, min_sep).select(F.col("j").alias("pid")).distinct().persist()
+        late = written(close_pairs(now, min_sep).select(F.col("j").alias("pid")).distinct())
         if not late.limit(1).count():
             break
         moved = late.withColumn("spot", F.pmod(F.xxhash64("pid", F.lit(seed + i)), F.lit(n))).join(spots, "spot")
-        now = now.join(moved.select("pid", "nx", "ny"), "pid", "left").select("pid", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y")).persist()
+        now = now.join(moved.select("pid", "nx", "ny"), "pid", "left").select("pid", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
+        now = written(now)
     return now
 
 

@@ -57,9 +57,9 @@ def grid_scores(a: DataFrame, b: DataFrame, grid: DataFrame, h: int, w: int, key
 
 def best_alignment(scores: DataFrame, key: Sequence[str] = PAIR) -> DataFrame:
     """The grid point of the best score; the first in the order scale, tx, ty on ties."""
-    top = F.struct(F.round("score", 9).alias("score"), (-F.col("scale")).alias("s"), (-F.col("tx")).alias("x"), (-F.col("ty")).alias("y"))
+    top = F.struct(F.round("score", 9).alias("score"), (-F.col("scale")).alias("s"), (-F.col("tx")).alias("x"), (-F.col("ty")).alias("y"), F.col("score").alias("raw"))
     best = scores.groupBy(*key).agg(F.max(top).alias("b"))
-    return best.select(*key, (-F.col("b.s")).alias("scale"), (-F.col("b.x")).alias("tx"), (-F.col("b.y")).alias("ty"), F.col("b.score").alias("score"))
+    return best.select(*key, (-F.col("b.s")).alias("scale"), (-F.col("b.x")).alias("tx"), (-F.col("b.y")).alias("ty"), F.col("b.raw").alias("score"))
 
 
 def median_scale(best: DataFrame, first_n: int, key: str = "pair_id", default: float = 1.0) -> DataFrame:

@@ -76,8 +76,9 @@ def append_sink(events: DataFrame, path: str, checkpoint: str, fmt: str = "json"
 
 def durations(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Seconds from each event to the next one of its key."""
-    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
-    return events.withColumn("seconds", F.unix_micros(after) / 1e6 - F.unix_micros(ts) / 1e6)
+    now = F.col(ts).cast("timestamp")
+    after = F.lead(now).over(Window.partitionBy(key).orderBy(ts, tie))
+    return events.withColumn("seconds", F.unix_micros(after) / 1e6 - F.unix_micros(now) / 1e6)
 
 
 def eta(elapsed: F.Column, done: F.Column, total: F.Column) -> F.Column:
