@@ -12,6 +12,11 @@ from ..functions.columns import clamp, half_even, lit, trunc_int
 KEY = ("tile_id",)
 
 
+def truncated(c: Column) -> Column:
+    """To an int towards zero, after rounding away the last digits, which depend on the order of sums."""
+    return trunc_int(F.round(c, 9))
+
+
 def pick_level(levels: DataFrame, min_size: int = 1000, max_size: int = 2000, key: str = "image") -> DataFrame:
     """Per image the first level whose smaller side lies in [min_size, max_size], else level 0."""
     fits = F.least("h", "w").between(min_size, max_size)
@@ -67,7 +72,7 @@ def minmax_u8(pixels: DataFrame, key: Sequence[str] = KEY, eps: float = 0.0, col
     joined = pixels.join(span, list(key)) if key else pixels.crossJoin(span)
     width = F.col("_hi") - F.col("_lo")
     scaled = (F.col(col) - F.col("_lo")) * lit(255) / ((width + lit(eps)) if eps else F.nullif(width.cast("double"), lit(0)))
-    return joined.withColumn(col, trunc_int(F.coalesce(scaled, lit(0)))).drop("_lo", "_hi")
+    return joined.withColumn(col, truncated(F.coalesce(scaled, lit(0)))).drop("_lo", "_hi")
 
 
 def crop(pixels: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
@@ -111,7 +116,7 @@ def stretch(pixels: DataFrame, lo: float = 0.01, hi: float = 0.997, key: Sequenc
     """Percentile stretch to 0..255, truncated; a flat range becomes 0."""
     span = F.nullif(F.col("p_hi") - F.col("p_lo"), lit(0))
     v = clamp((F.col("v") - F.col("p_lo")) / span, 0.0, 1.0) * lit(255)
-    return pixels.join(percentile_limits(pixels, lo, hi, key), list(key)).withColumn("v", trunc_int(F.coalesce(v, lit(0)))).drop("p_lo", "p_hi")
+    return pixels.join(percentile_limits(pixels, lo, hi, key), list(key)).withColumn("v", truncated(F.coalesce(v, lit(0)))).drop("p_lo", "p_hi")
 
 
 def lut_index(pixels: DataFrame, threshold: int = 300, key: Sequence[str] = KEY) -> DataFrame:

@@ -18,8 +18,8 @@ _STAIN = raster.stain_rows()
 def _mm(inner: str, cols: str = "tile_id, y, x") -> str:
     """Truncated min-max to 0..255 per tile of a query with column v."""
     return (
-        f"SELECT {cols}, trunc(coalesce((v - min(v) OVER (PARTITION BY tile_id)) * 255.0::DOUBLE / "
-        f"nullif(CAST(max(v) OVER (PARTITION BY tile_id) - min(v) OVER (PARTITION BY tile_id) AS DOUBLE), 0), 0)) AS v FROM ({inner})"
+        f"SELECT {cols}, trunc(round(coalesce((v - min(v) OVER (PARTITION BY tile_id)) * 255.0::DOUBLE / "
+        f"nullif(CAST(max(v) OVER (PARTITION BY tile_id) - min(v) OVER (PARTITION BY tile_id) AS DOUBLE), 0), 0), 9)) AS v FROM ({inner})"
     )
 
 
@@ -31,7 +31,7 @@ def _(s):
     return raster.hematoxylin(s.rgb)
 
 
-_STRETCH = """SELECT tile_id, y, x, trunc(coalesce(greatest(0, least(1, (v - lo) / nullif(hi - lo, 0))) * 255, 0)) AS v
+_STRETCH = """SELECT tile_id, y, x, trunc(round(coalesce(greatest(0, least(1, (v - lo) / nullif(hi - lo, 0))) * 255, 0), 9)) AS v
 FROM px JOIN (SELECT tile_id, quantile_cont(v, {a}) AS lo, quantile_cont(v, {b}) AS hi FROM px GROUP BY tile_id) USING (tile_id)"""
 
 
@@ -140,7 +140,7 @@ def _(s):
 
 
 @query("pj07_u16_to_u8", "tile_id:l y:l x:l v:l", """
-SELECT tile_id, y, x, trunc((v - lo) * 255.0::DOUBLE / (hi - lo + 1e-8::DOUBLE)) AS v FROM (SELECT tile_id, y, x, v * 257 AS v FROM px)
+SELECT tile_id, y, x, trunc(round((v - lo) * 255.0::DOUBLE / (hi - lo + 1e-8::DOUBLE), 9)) AS v FROM (SELECT tile_id, y, x, v * 257 AS v FROM px)
 JOIN (SELECT tile_id, min(v) * 257 AS lo, max(v) * 257 AS hi FROM px GROUP BY tile_id) USING (tile_id)""")
 def _(s):
     return raster.minmax_u8(s.px.withColumn("v", F.col("v") * 257), eps=1e-8)
