@@ -148,6 +148,8 @@ def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20
     In each round every point that is the later one of a close pair takes the coordinate of its turn in hash order.
     """
     n = coords.count()
+    if not n:
+        return points
     turn = Window.orderBy(F.xxhash64("y", "x", F.lit(seed)), "y", "x")
     spots = coords.select(F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"), (F.row_number().over(turn) - 1).alias("spot")).persist()
     now = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))

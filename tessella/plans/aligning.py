@@ -27,7 +27,7 @@ def _(s):
 
 @query("it03_repel", "pid:l x:d y:d")
 def _(s):
-    spots = s.pts.where("pid > 400").select("x", "y")
+    spots = s.pts.where("pid > 120").select("x", "y")
     return sampling.repel(s.few.where("pid <= 120"), spots, 30)
 
 
