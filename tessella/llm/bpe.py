@@ -18,8 +18,23 @@ from pyspark.sql import functions as F
 
 from .common import chunked
 
+# Letters and numbers to the regex module that Unicode 16, the vocabulary pattern's version, doesn't have.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NOT_YET = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
+# Lower-case forms that Unicode 16 and 17 added.
+NEW_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+HAS_NEW_LOWER = re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
 #: Pieces between white space, and their words, whose encodings a worker remembers in each generation.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Documents decoded at once.
 DECODE_ROWS = 128
 # What counts as white space to the vocabulary's normaliser.
@@ -125,8 +140,10 @@ class Codec(dict):
         """The words that the pattern finds in a piece; for the two most usual kinds without it."""
         if piece.isalpha():
             return [piece]
-        if piece[:-1].isalpha():
+        if piece[-1] < "\x80" and piece[:-1].isalpha():
             return [piece[:-1], piece[-1]]
+        if NOT_YET.search(piece):
+            return [piece[m.start() : m.end()] for m in self.words.finditer(NOT_YET.sub("\x01", piece))]
         return self.words.findall(piece)
 
     def __missing__(self, piece: str) -> list[int]:
@@ -149,6 +166,8 @@ class Codec(dict):
         if text.isascii():
             return text.lower()
         text = unicodedata.normalize("NFC", text)
+        if HAS_NEW_LOWER.search(text):
+            text = text.translate(NEW_LOWER)
         # one character at a time: a final sigma is no special case
         return text.replace("Σ", "σ").lower()
 
