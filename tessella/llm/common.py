@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: A side of a join is broadcast only when its rows, counted before, stay below this.
 BROADCAST_ROWS = 200_000
 #: Stands for a null document id inside joins; never shown.
@@ -106,7 +106,7 @@ _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**j`` and its inverse modulo 2**64, for j up to n."""
     if k not in _pow or len(_pow[k][0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (n // 65536 + 1) * 65536 + 1
         b = _BASES[k]
         out = []
         for x in (b, pow(b, -1, 1 << 64)):

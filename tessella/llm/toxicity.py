@@ -25,7 +25,8 @@ NEIGHBOURS, BLOCK = 25, 64
 STEMS = (4, 5, 6, 7)
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 0.25
-REMEMBERED = 400_000
+#: Words whose terms a worker remembers, and terms that a task counts before it passes the counts on.
+REMEMBERED, COUNTED = 120_000, 100_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -165,21 +166,23 @@ def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[fl
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic documents, clean documents), summed over the task."""
+    """(term, toxic documents, clean documents), summed over many documents."""
     by: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[label].update({t for w in set(words(text)) for t in terms_of(w)})
-    for some in _slices(sorted(set(by[0]) | set(by[1])), 50_000):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.binary()), *(pa.array([c[t] for t in some], pa.int64()) for c in (by[1], by[0]))],
-            names=["term", "toxic", "clean"],
-        )
 
+    def passed_on() -> pa.RecordBatch:
+        some = list(by[0].keys() | by[1].keys())
+        columns = [pa.array(some, pa.binary()), *(pa.array([c[t] for t in some], pa.int64()) for c in (by[1], by[0]))]
+        for c in by:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
 
-def _slices(x: list, n: int) -> Iterator[list]:
-    for i in range(0, len(x), n):
-        yield x[i : i + n]
+    for batch in batches:
+        for part in chunked(batch, 0):
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                by[label].update({t for w in set(words(text)) for t in terms_of(w)})
+                if len(by[0]) + len(by[1]) > COUNTED:
+                    yield passed_on()
+    yield passed_on()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -241,16 +244,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     def sparse(batches):
         ids = TermIds(shared.value)
         for batch in batches:
-            counts = [ids.counts(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([list(x.keys()) for x in counts], pa.list_(pa.int32())),
-                    pa.array([list(x.values()) for x in counts], pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "label", "t", "n"],
-            )
+            for part in chunked(batch, 1):
+                counts = [ids.counts(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array([list(x.keys()) for x in counts], pa.list_(pa.int32())),
+                        pa.array([list(x.values()) for x in counts], pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "label", "t", "n"],
+                )
 
     rows = examples.select("doc_id", "text", "label").mapInArrow(sparse, "doc_id long, label int, t array<int>, n array<int>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.t, r.n))
