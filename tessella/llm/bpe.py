@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked
+from .common import chunked, texts_of
 
 # Letters and numbers to the regex module that Unicode 16, the vocabulary pattern's version, doesn't have.
 LATER = (
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dec
                     out["_decoded"] = pa.array(map(codec.decode, rows), pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col)
     schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), *[F.lit("").alias("_decoded")] * decoded).schema
     return rows.mapInArrow(run, schema)
 

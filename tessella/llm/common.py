@@ -72,6 +72,22 @@ def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if n <= limit else df
 
 
+def texts_of(docs: DataFrame, text_col: str = "text", *more: Column) -> DataFrame:
+    """(_row, more, _text): a document's columns in a struct, so that no name clashes, and its text.
+
+    Rows hold whole texts, so Arrow batches of Spark's default size are made smaller.
+    """
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more, F.col(text_col).alias("_text"))
+
+
+def small_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Sets the rows of an Arrow batch for this session, if they are still Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Join key of a document: its id (a null one has a stand-in) and a hash of its text.
 

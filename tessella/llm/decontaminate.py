@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, between, chunked, mix, prefix, utf8
+from .common import U64, Words, between, chunked, mix, prefix, texts_of, utf8
 
 #: Item words in a window.
 WINDOW = 13
@@ -167,7 +167,7 @@ def decontaminate(
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("x"))
     total = bench.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    schema_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    schema_row = texts_of(docs, text_col)
     out = schema_row.withColumns(
         {
             "_n_words": F.lit(0).cast("long"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, between, chunked, mix, prefix, utf8
+from .common import U64, Words, between, chunked, mix, prefix, texts_of, utf8
 from .decontaminate import TABLE
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
                 kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, kind)], names=["_row", "_found"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col)
     kind = "array<struct<license:string,start:bigint,end:bigint,share:double>>"
     return rows.mapInArrow(run, rows.select("_row", F.array().cast(kind).alias("_found")).schema)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked
+from .common import chunked, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns, written so that no text takes quadratic time.
@@ -337,7 +337,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found = [spans(t, field) for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, kind)], names=["_row", "_spans"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col)
     kind = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
     return rows.mapInArrow(run, rows.select("_row", F.array().cast(kind).alias("_spans")).schema)
 

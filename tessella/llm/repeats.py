@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, doc_key, mix, stash, utf8
+from .common import bounded, chunked, doc_key, mix, stash, texts_of, utf8
 
 #: Rows of one anchor that are held at once; more of them are settled in parts.
 GROUP_ROWS = 1 << 17
 HULL, OPEN = 1, 2
+#: What a chunk knows of its rows, beside 1 for several equal ones.
+MIXED, SETTLED = 4, 16
 
 
 def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,18 +61,29 @@ ROW = ["a", "b", "_id", "_t", "p", "s"]
 ROW_DDL = "a long, b long, _id long, _t long, p int, s byte"
 
 
-def _emit(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ts: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """Rows for the sort: one for each (a, b) of the chunk; s is 0, or 1 if the chunk has it again.
+def _emit(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ts: np.ndarray, p: np.ndarray, mixed: bool = True) -> pa.RecordBatch:
+    """Rows for the sort, of which s tells what the chunk itself shows.
 
-    The others of an equal (a, b) are settled: s is 2, and their key is scattered.
+    Of equal (a, b) one row goes on, with s = 1 if the chunk has several; where ``mixed``, also of
+    equal a only one goes on, with MIXED added. The others are settled here: s is SETTLED plus the
+    outcome that the sort would give them, and their key is scattered. So a key that a large share
+    of all documents has sends one row a chunk.
     """
     a, b = a.view(np.int64), b.view(np.int64)
     order, first, size = _first_of_equal(a, b)
-    s = np.full(len(order), 2, dtype=np.int8)
-    s[first] = size > 1
     a, b, ids, ts, p = a[order], b[order], ids[order], ts[order], p[order]
-    again = s == 2
-    a = np.where(again, mix(a.view(np.uint64) + p.astype(np.uint64) + ids.view(np.uint64)).view(np.int64), a)
+    s = np.full(len(order), SETTLED + HULL, dtype=np.int8)
+    s[first] = size > 1
+    if mixed and len(order):
+        kind_a = a[first]
+        new = np.append(True, kind_a[1:] != kind_a[:-1])
+        at = np.flatnonzero(new)
+        several = np.diff(np.append(at, len(first))) > 1  # an anchor hash with several hulls
+        s[first[at[several]]] += MIXED
+        rest = first[~new]
+        s[rest] = SETTLED + OPEN + HULL * (size[~new] > 1)
+    done = s >= SETTLED
+    a = np.where(done, mix(a.view(np.uint64) + p.astype(np.uint64) + ids.view(np.uint64)).view(np.int64), a)
     return _record(ROW, a, b, ids, ts, p.astype(np.int32), s)
 
 
@@ -120,9 +133,9 @@ def _walk(batches: Iterator[pa.RecordBatch], settle: Callable) -> Iterator[pa.Re
 
 def _settle_anchors(cols: list[np.ndarray], part: bool) -> Iterator[pa.RecordBatch]:
     a, b, ids, ts, p, s = cols
-    known = s == 2
+    known = s >= SETTLED
     if known.any():
-        yield _record(ROW[2:], ids[known], ts[known], p[known], np.full(int(known.sum()), HULL, dtype=np.int8))
+        yield _record(ROW[2:], ids[known], ts[known], p[known], s[known] - np.int8(SETTLED))
         a, b, ids, ts, p, s = (c[~known] for c in cols)
     if not len(a):
         return
@@ -130,8 +143,8 @@ def _settle_anchors(cols: list[np.ndarray], part: bool) -> Iterator[pa.RecordBat
     new_b = new_a | np.append(True, b[1:] != b[:-1])
     kind = np.cumsum(new_b) - 1
     group = np.cumsum(new_a) - 1
-    many = (np.bincount(kind, minlength=kind[-1] + 1) > 1) | (np.bincount(kind, weights=s, minlength=kind[-1] + 1) > 0)
-    mixed = (np.bincount(group[new_b], minlength=group[-1] + 1) > 1) | part
+    many = (np.bincount(kind, minlength=kind[-1] + 1) > 1) | (np.bincount(kind, weights=s & 1, minlength=kind[-1] + 1) > 0)
+    mixed = (np.bincount(group[new_b], minlength=group[-1] + 1) > 1) | (np.bincount(group, weights=s & MIXED, minlength=group[-1] + 1) > 0) | part
     out = np.where(many[kind], HULL, 0) + np.where(mixed[group] & (new_b | ~many[kind]), OPEN, 0)
     keep = out > 0
     yield _record(ROW[2:], ids[keep], ts[keep], p[keep], out[keep].astype(np.int8))
@@ -141,7 +154,7 @@ def _settle_windows(cols: list[np.ndarray], part: bool) -> Iterator[pa.RecordBat
     a, b, ids, ts, p, s = cols
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     kind = np.cumsum(new) - 1
-    many = (np.bincount(kind) > 1) | (np.bincount(kind, weights=s) > 0) | part
+    many = (np.bincount(kind) > 1) | (np.bincount(kind, weights=s) > 0) | part  # s > 0: several in a chunk
     keep = many[kind]
     yield _record(ROW[2:], ids[keep], ts[keep], p[keep], np.full(int(keep.sum()), HULL, dtype=np.int8))
 
@@ -245,7 +258,7 @@ def _window_rows(spec, width: int) -> Callable:
                 at.append(r)
             doc, at = np.concatenate(doc), np.concatenate(at)
             if len(at):
-                yield _emit(*spec.names(units, doc, at), ids[doc], ts[doc], at)
+                yield _emit(*spec.names(units, doc, at), ids[doc], ts[doc], at, mixed=False)
 
     return run
 
@@ -282,8 +295,8 @@ def _cut(spec) -> Callable:
 
 
 def keyed(docs: DataFrame, text_col: str, whole_row: bool = False) -> DataFrame:
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole_row else []
-    return docs.select(*row, *doc_key("doc_id", text_col), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col, *doc_key("doc_id", text_col))
+    return rows if whole_row else rows.drop("_row")
 
 
 def remove_repeats(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:

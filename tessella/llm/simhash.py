@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunked, connected_components, local_components, stash, utf8
+from .common import U64, Words, chunked, connected_components, local_components, stash, texts_of, utf8
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, RADIUS = 3, 2
@@ -52,7 +52,7 @@ def _prints(shingle: int):
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``_row`` (struct of the document's columns) and its 64-bit SimHash ``_fp``; 0 for no words."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col)
     schema = rows.select("_row", F.lit(0).cast("long").alias("_fp")).schema
     return rows.mapInArrow(_prints(shingle), schema)
 

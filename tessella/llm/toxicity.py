@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked
+from .common import chunked, small_batches, texts_of
 from .decontaminate import TABLE
 
 #: Labelled rows that the examples are drawn from, at most: those of least hash.
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     The driver gets at most ``max_examples`` sparse examples and ``MAX_TERMS`` terms. Document
     frequencies are counted over every document.
     """
+    small_batches(docs.sparkSession)
     examples = labelled(docs, labels, max_examples)
     sums = (
         examples.select("text", "label").mapInArrow(_label_counts, "term binary, toxic long, clean long")
@@ -296,7 +297,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     names=["_row", "_score", "_evidence"],
                 )
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    rows = texts_of(docs, text_col)
     schema = rows.select("_row", F.lit(0.0).cast("double").alias("_score"), F.array().cast("array<long>").alias("_evidence")).schema
     return rows.mapInArrow(run, schema)
 
