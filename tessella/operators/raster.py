@@ -260,3 +260,14 @@ def otsu(pixels: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 def replicate_fit(w: Column, h: Column, box_w: int, box_h: int) -> Column:
     """Scale at which an image fits in a box."""
     return F.least(F.lit(float(box_w)) / w, F.lit(float(box_h)) / h)
+
+
+def corner_mark(h: int, w: int, length: int) -> Column:
+    """Where a watermark bar of the bottom right corner lies."""
+    return (F.col("y") == h - 1) & (F.col("x") >= w - length)
+
+
+def comparison_frames(a: DataFrame, b: DataFrame, mark: Column) -> DataFrame:
+    """Two images as alternating frames, watermarked in white."""
+    both = a.withColumn("frame", F.lit(0)).unionByName(b.withColumn("frame", F.lit(1)))
+    return both.withColumn("v", F.when(mark, 255).otherwise(F.col("v")))

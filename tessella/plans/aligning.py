@@ -385,6 +385,11 @@ def _(s):
     return streams.durations(s.table("events"), "user_id")
 
 
+@query("ss03_queue_polls", "poll:l n:l last:l", "SELECT epoch_us(ts) // 100000 AS poll, count(*) AS n, arg_max(event_id, ts) AS last FROM events GROUP BY poll")
+def _(s):
+    return streams.polls(s.table("events"))
+
+
 @query("ss04_ready_stages", "user_id:l ready:b", "SELECT user_id, bool_or(event_type = 'click') AND bool_or(event_type = 'view') AS ready FROM events GROUP BY user_id")
 def _(s):
     return s.table("events").groupBy("user_id").agg((F.bool_or(F.col("event_type") == "click") & F.bool_or(F.col("event_type") == "view")).alias("ready"))

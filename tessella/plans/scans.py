@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import level0, lit
 from ..operators import geometry, raster
 from ..sources import artefacts, images
-from .adapters import ANCHOR_MAP, HOMOGRAPHY, META
+from .adapters import ANCHOR_MAP, HOMOGRAPHY, SIDE
 from .registry import query
 
 
@@ -332,6 +332,12 @@ def _(s):
     return geometry.source_windows(geometry.tile_grid(s.spark, 4500, 3500, 1024), _H, 3000, 2000)
 
 
+@query("sk15_comparison_frames", "pair_id:l frame:l y:l x:l v:l", """
+SELECT pair_id, 0 AS frame, y, x, CASE WHEN y = 7 AND x > 4 THEN 255 ELSE v END AS v FROM ma UNION ALL SELECT pair_id, 1, y, x, CASE WHEN y = 7 AND x > 4 THEN 255 ELSE v END FROM mb""")
+def _(s):
+    return raster.comparison_frames(s.ma, s.mb, raster.corner_mark(SIDE, SIDE, 3))
+
+
 @query("sk16_extent", "w:l h:l", "SELECT ceil(max(x)) AS w, ceil(max(y)) AS h FROM pts")
 def _(s):
     return s.pts.agg(F.ceil(F.max("x")).alias("w"), F.ceil(F.max("y")).alias("h"))

@@ -84,3 +84,9 @@ def durations(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id"
 def eta(elapsed: F.Column, done: F.Column, total: F.Column) -> F.Column:
     """Seconds left at the pace so far; null before anything is done."""
     return F.when(done > 0, elapsed / done * (total - done))
+
+
+def polls(events: DataFrame, every_ms: int = 100, ts: str = "ts", message: str = "event_id") -> DataFrame:
+    """What each poll of a queue would drain: how many messages, and the last one."""
+    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (every_ms * 1000))
+    return events.groupBy(at.alias("poll")).agg(F.count("*").alias("n"), F.max_by(message, ts).alias("last"))
