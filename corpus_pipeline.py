@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    model = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("_score < 0.5").select("_row.*")
 
 
@@ -42,7 +42,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeat the chosen id and text, one stays. A null id comes after all others.
     """
     keys = docs.select(*doc_key(), "text")
-    own = stash(simhash.fingerprints(keys).select(F.struct(F.col("_row._id").alias("doc_id"), F.col("_row._t").alias("t")).alias("_row"), "_fp"))
+    own = stash(simhash.fingerprints(keys, keep=["_id", "_t"]).select(F.struct(F.col("_row._id").alias("doc_id"), F.col("_row._t").alias("t")).alias("_row"), "_fp"))
     groups = simhash.with_components(own)
     order = F.struct((F.col("_row.doc_id") == NO_ID).alias("last"), F.col("_row.doc_id").alias("_id"), F.col("_row.t").alias("_t"))
     rows = groups.select("_root", order.alias("o")).groupBy("_root", "o").agg(F.count("*").alias("n"))

@@ -205,8 +205,8 @@ def share(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(load(path or default_path()))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
-    """``_row`` (struct of the document's columns) and ``_ids``, the token ids of its whole text.
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (struct of the document's columns, or those of ``keep``) and ``_ids``, the token ids of its whole text.
 
     Null and empty texts have no tokens. No special tokens are added; their strings inside a text
     become their ids, as the library does. With ``decoded``, the text decoded from the ids follows.
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dec
                     out["_decoded"] = pa.array(map(codec.decode, rows), pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = texts_of(docs, text_col)
+    rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), *[F.lit("").alias("_decoded")] * decoded).schema
     return rows.mapInArrow(run, schema)
 
@@ -249,14 +249,14 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select("_row", "_ids").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """What ``decode(encode(docs))`` gives, in one pass over the documents."""
-    return encode(docs, text_col, path, decoded=True)
+    return encode(docs, text_col, path, decoded=True, keep=keep)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``_row`` with token count and hashes of ids and decoded text."""
-    both = round_trip(docs, path=path)
+    both = round_trip(docs, path=path, keep=keep)
     return both.select(
         "_row",
         F.size("_ids").cast("long").alias("n_tokens"),
@@ -267,4 +267,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One digest row a document; see the query ``op7_bpe``."""
-    return digests(docs.select("doc_id", "text"), path).select("_row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(docs, path, ["doc_id"]).select("_row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -54,6 +54,22 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` as a table in n buckets of ``keys``: one shuffle, after which joins on them move the other side only."""
+    spark = df.sparkSession
+    name = f"tessella_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").saveAsTable(name)
+    atexit.register(_drop_table, spark, name)
+    return spark.table(name)
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        pass
+
+
 def held(df: DataFrame) -> tuple[DataFrame, int]:
     """A small frame kept by the executors, and its rows; what a lost executor held is computed again."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -72,13 +88,13 @@ def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if n <= limit else df
 
 
-def texts_of(docs: DataFrame, text_col: str = "text", *more: Column) -> DataFrame:
-    """(_row, more, _text): a document's columns in a struct, so that no name clashes, and its text.
+def texts_of(docs: DataFrame, text_col: str = "text", *more: Column, keep: list[str] | None = None) -> DataFrame:
+    """(_row, more, _text): a document's columns (or those of ``keep``) in a struct, so that no name clashes, and its text.
 
     Rows hold whole texts, so Arrow batches of Spark's default size are made smaller.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more, F.col(text_col).alias("_text"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"), *more, F.col(text_col).alias("_text"))
 
 
 def small_batches(spark: SparkSession, rows: int = 4000) -> None:
@@ -233,4 +249,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seal:
             break
         seal = now
+    else:
+        raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
     return e.select("u", F.col("v").alias("root"))

@@ -154,10 +154,11 @@ def decontaminate(
     text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Every document with its words that lie in an occurrence of a benchmark window.
 
-    Returns ``_row`` (a struct of the document's columns, whatever their names), ``_n_words``,
+    Returns ``_row`` (a struct of the document's columns, or those of ``keep``, whatever their names), ``_n_words``,
     ``_n_hit``, ``_hits`` (a bitmap over the words, null where none is hit) and ``_items`` (sorted
     ids of the items found, as strings). Null and empty texts have no words. Items with a null id
     or without words are never found; repeated items count once. The benchmark is read in blocks of
@@ -167,7 +168,7 @@ def decontaminate(
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("x"))
     total = bench.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    schema_row = texts_of(docs, text_col)
+    schema_row = texts_of(docs, text_col, keep=keep)
     out = schema_row.withColumns(
         {
             "_n_words": F.lit(0).cast("long"),
@@ -190,7 +191,7 @@ def contaminated() -> F.Column:
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One digest row a document; see the query ``op1_decontaminate``."""
-    found = decontaminate(docs.select("doc_id", "text"), benchmark)
+    found = decontaminate(docs, benchmark, keep=["doc_id"])
     return found.select(
         F.col("_row.doc_id").alias("doc_id"),
         F.col("_n_words").alias("n_words"),

@@ -152,8 +152,8 @@ class Index:
                     yield d, name, s + hit[0], s + hit[-1] + SHINGLE, share
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """``_row`` (struct of the document's columns) and ``_found``: license, start and end word, share.
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (struct of the document's columns, or those of ``keep``) and ``_found``: license, start and end word, share.
 
     A template is found where a window holds at least 0.8 of its five-word shingles; windows that
     find the same stretch give it once, with the largest share. Null and empty texts hold none.
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
                 kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, kind)], names=["_row", "_found"])
 
-    rows = texts_of(docs, text_col)
+    rows = texts_of(docs, text_col, keep=keep)
     kind = "array<struct<license:string,start:bigint,end:bigint,share:double>>"
     return rows.mapInArrow(run, rows.select("_row", F.array().cast(kind).alias("_found")).schema)
 
@@ -179,7 +179,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, how many licenses a document names, and which (sorted, comma-joined)."""
     names = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["license"])))
-    return scan(docs.select("doc_id", "text")).select(
+    return scan(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         F.size(names).cast("long").alias("n_licenses"),
         F.array_join(names, ",").alias("licenses"),

@@ -58,10 +58,10 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return spread.where(F.col("sites") > high).select("a", "b").unionByName(exact.select("a", "b"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, keep: list[str] | None = None) -> DataFrame:
     """Documents without their boilerplate lines.
 
-    Returns ``_row`` (struct of the document's columns as they were), ``_kept`` (the remaining lines,
+    Returns ``_row`` (struct of the document's columns as they were, or of those in ``keep``), ``_kept`` (the remaining lines,
     joined by newlines; null for a null text), ``_n_lines`` and ``_n_removed`` (0 for a null text).
     Blank lines are never removed. A document of boilerplate only keeps an empty text. Repeated
     documents are each treated alike.
@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source
     bad, n_bad = held(boilerplate(docs, text_col, site_col, min_sites))
     text = F.col(text_col)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"),
         text.alias("_text"),
         F.xxhash64(text).alias("_t1"),
         F.xxhash64(F.lit(7), text).alias("_t2"),
@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the kept text, one row a document."""
-    done = dedup_lines(docs.select("doc_id", "text", "source"))
+    done = dedup_lines(docs, keep=["doc_id"])
     return done.select(
         F.col("_row.doc_id").alias("doc_id"),
         F.col("_n_lines").alias("n_lines"),

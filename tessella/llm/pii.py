@@ -313,8 +313,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
     return out
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``_row`` (struct of the document's columns) and ``_spans``: kind, start, end, base.
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (struct of the document's columns, or those of ``keep``) and ``_spans``: kind, start, end, base.
 
     Positions count code points, the end is exclusive. The fixed patterns' spans (base) always
     stand; the field adds spans elsewhere. Null and empty texts have none.
@@ -337,7 +337,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found = [spans(t, field) for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(found, kind)], names=["_row", "_spans"])
 
-    rows = texts_of(docs, text_col)
+    rows = texts_of(docs, text_col, keep=keep)
     kind = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
     return rows.mapInArrow(run, rows.select("_row", F.array().cast(kind).alias("_spans")).schema)
 
@@ -352,7 +352,7 @@ def report(docs: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return find(docs.select("doc_id", "text")).select(
+    return find(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         *[count(k) for k in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),

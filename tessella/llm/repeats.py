@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunked, doc_key, mix, stash, texts_of, utf8
+from .common import BROADCAST_ROWS, bucketed, chunked, doc_key, mix, stash, texts_of, utf8
 
 #: Rows of one anchor that are held at once; more of them are settled in parts.
 GROUP_ROWS = 1 << 17
 HULL, OPEN = 1, 2
+#: Documents with repeats, up to which their positions are broadcast to the texts.
+FEW = BROADCAST_ROWS
 #: What a chunk knows of its rows, beside 1 for several equal ones.
 MIXED, SETTLED = 4, 16
 
@@ -294,29 +296,37 @@ def _cut(spec) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame, text_col: str, whole_row: bool = False) -> DataFrame:
-    rows = texts_of(docs, text_col, *doc_key("doc_id", text_col))
-    return rows if whole_row else rows.drop("_row")
+def keyed(docs: DataFrame, text_col: str, keep: list[str] | None) -> DataFrame:
+    return texts_of(docs, text_col, *doc_key("doc_id", text_col), keep=keep)
 
 
-def remove_repeats(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, spec, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Documents without the units that a repeated window covers.
 
-    Returns ``_row`` (struct of the document's columns), ``_kept`` (binary), ``_n`` (units),
+    Returns ``_row`` (struct of the document's columns, or those of ``keep``), ``_kept`` (binary), ``_n`` (units),
     ``_n_removed`` and ``_n_spans`` (maximal runs removed). Null texts count as empty. Rows that
     repeat id and text are separate documents, so each is a repeat of the other. Texts are read
-    again for each step; between the steps only positions are kept.
+    again for each step; between the steps only positions are kept. They are broadcast if at most
+    ``FEW`` documents have any; else the texts are dealt once into buckets of their documents, and
+    each step moves positions only.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs, text_col)
+    texts = keyed(docs, text_col, keep)
+    anchors = texts.drop("_row").where("_text is not null").mapInArrow(_anchor_rows(spec), ROW_DDL)
+    width = spec.reach
+    steps = [stash(_by_document(_sorted_walk(anchors, _settle_anchors, n), width, n))]
+    few = steps[0].count() <= FEW
+    if not few:
+        texts = bucketed(texts, ["_id", "_t"], n)
+
+    def met(side: DataFrame, how: str) -> DataFrame:
+        """Texts with what is known of their documents: positions travel, texts stay where they are."""
+        return texts.join(F.broadcast(side) if few else side.hint("shuffle_hash"), ["_id", "_t"], how)
 
     def opened(found: DataFrame) -> DataFrame:
         todo = found.where(F.size("open") > 0).select("_id", "_t", "open")
-        return texts.join(bounded(todo), ["_id", "_t"]).select("_id", "_t", "_text", "open")
+        return met(todo, "inner").select("_id", "_t", "_text", "open")
 
-    anchors = texts.where("_text is not null").mapInArrow(_anchor_rows(spec), ROW_DDL)
-    width = spec.reach
-    steps = [stash(_by_document(_sorted_walk(anchors, _settle_anchors, n), width, n))]
     for narrower in spec.levels:
         nodes = opened(steps[-1]).mapInArrow(_node_rows(spec, width, narrower), ROW_DDL)
         width = narrower
@@ -331,7 +341,6 @@ def remove_repeats(docs: DataFrame, spec, text_col: str = "text") -> DataFrame:
         found.repartition(n, "_id", "_t").sortWithinPartitions("_id", "_t", "lo")
         .mapInArrow(_merge_marks, "_id long, _t long, marks array<int>")
     )
-    whole = keyed(docs, text_col, whole_row=True)
-    joined = whole.join(bounded(marks), ["_id", "_t"], "left").select("_row", "_id", "_t", "_text", "marks")
+    joined = met(marks, "left").select("_row", "_id", "_t", "_text", "marks")
     out = joined.select("_row", F.lit(b"").alias("_kept"), *[F.lit(0).cast("long").alias(c) for c in ("_n", "_n_removed", "_n_spans")])
     return joined.mapInArrow(_cut(spec), out.schema)

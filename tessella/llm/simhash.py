@@ -50,9 +50,9 @@ def _prints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``_row`` (struct of the document's columns) and its 64-bit SimHash ``_fp``; 0 for no words."""
-    rows = texts_of(docs, text_col)
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (struct of the document's columns, or those of ``keep``) and its 64-bit SimHash ``_fp``; 0 for no words."""
+    rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.lit(0).cast("long").alias("_fp")).schema
     return rows.mapInArrow(_prints(shingle), schema)
 
@@ -154,14 +154,14 @@ def links(prints: DataFrame, cap: int = CELL) -> DataFrame:
     return found.where("v is not null").unionByName(star.select(F.col("_fp").alias("u"), "v")).distinct()
 
 
-def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Every document's fingerprint and the smallest id of its component.
 
     Returns ``_row`` (the document's columns in a struct), ``_fp`` and ``_component``. Null and
     empty texts have fingerprint 0 and link like any other. Documents with a null id take part, but
     a component is named by its smallest id that isn't null (null if there is none).
     """
-    own = stash(fingerprints(docs, text_col))
+    own = stash(fingerprints(docs, text_col, keep=keep))
     return with_components(own, id_col)
 
 
@@ -177,7 +177,7 @@ def with_components(own: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document; see the query ``op3_simhash``."""
-    return components(docs.select("doc_id", "text")).select(
+    return components(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.col("_component").alias("component_id"),

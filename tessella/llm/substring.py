@@ -77,14 +77,14 @@ class CoverSpec:
         return b" ".join(w.buf[w.start[j] : w.end[j]] for j in (lo + np.flatnonzero(~gone)).tolist())
 
 
-def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """Documents without the words of repeated windows; see ``repeats.remove_repeats``."""
-    return remove_repeats(docs, CoverSpec(window), text_col)
+    return remove_repeats(docs, CoverSpec(window), text_col, keep)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One digest row a document; see the query ``op2_substring_dedup``."""
-    return dedup_substrings(docs.select("doc_id", "text")).select(
+    return dedup_substrings(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         F.col("_n").alias("n_words"),
         F.col("_n_removed").alias("n_removed"),

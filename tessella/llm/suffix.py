@@ -123,14 +123,14 @@ class BucketSpec:
         return u.bytes[u.first[i] : u.first[i + 1]][~gone].tobytes()
 
 
-def dedup_suffixes(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """Documents without the bytes of repeated strings; see ``repeats.remove_repeats``."""
-    return remove_repeats(docs, BucketSpec(window), text_col)
+    return remove_repeats(docs, BucketSpec(window), text_col, keep)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One digest row a document; see the query ``op5_suffix_dedup``."""
-    return dedup_suffixes(docs.select("doc_id", "text")).select(
+    return dedup_suffixes(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         F.col("_n").alias("n_bytes"),
         F.col("_n_removed").alias("n_removed"),

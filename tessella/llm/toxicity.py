@@ -274,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``_row`` (struct of the document's columns), ``_score`` in [0, 1] and ``_evidence`` (example ids).
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (struct of the document's columns, or those of ``keep``), ``_score`` in [0, 1] and ``_evidence`` (example ids).
 
     A text without any of the model's terms, such as a null or empty one, gets the share of toxic
     ones among such examples. Only the text is read.
@@ -297,15 +297,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     names=["_row", "_score", "_evidence"],
                 )
 
-    rows = texts_of(docs, text_col)
+    rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.lit(0.0).cast("double").alias("_score"), F.array().cast("array<long>").alias("_evidence")).schema
     return rows.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document; see the query ``op6_toxicity``."""
-    own = docs.select("doc_id", "text")
-    return score(own, fit(own, labels)).select(
+    return score(docs, fit(docs, labels), keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
         held_out("_row.doc_id").alias("held_out"),
         F.col("_score").alias("score"),

@@ -69,6 +69,16 @@ def test_groups_in_parts_give_the_same(module, hard, monkeypatch, spark):
     assert again == want
 
 
+@pytest.mark.parametrize("module", [substring, suffix])
+def test_texts_in_buckets_give_the_same(module, hard, monkeypatch):
+    want = sorted(map(repr, module.report(hard).collect()))
+    monkeypatch.setattr(repeats, "FEW", 0)
+    got = module.report(hard)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    assert sorted(map(repr, got.collect())) == want
+
+
 def test_difference_cover():
     differences = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
     assert differences == set(range(substring.PERIOD))
