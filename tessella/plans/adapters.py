@@ -95,16 +95,25 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """A row a tile: its values in an array, and their median. No shuffle is needed for either."""
+        v = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + F.lit(0.55)) * F.lit(230.0)).cast("int"))))
+        rows = self.table("embeddings").select(F.col("vec_id").alias("tile_id"), v.alias("vs"))
+        s, n = F.array_sort("vs"), F.size("vs")
+        return rows.withColumn("m", (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+    def _pixels(self, *more) -> DataFrame:
+        e = self.blocks.select("tile_id", "m", F.posexplode("vs").alias("i", "v"))
+        return e.select("tile_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), "v", *more)
+
     @cached_property
     def px(self) -> DataFrame:
-        e = self.table("embeddings").select(F.col("vec_id").alias("tile_id"), F.posexplode("embedding").alias("i", "e"))
-        v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("e").cast("double") + F.lit(0.55)) * F.lit(230.0)).cast("int")))
-        return e.select("tile_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), v.alias("v"))
+        return self._pixels()
 
     @cached_property
     def pm(self) -> DataFrame:
-        m = self.px.groupBy("tile_id").agg(F.median("v").alias("m"))
-        return self.px.join(m, "tile_id").withColumn("fg", (F.col("v") >= F.col("m")).cast("int")).drop("m")
+        return self._pixels((F.col("v") >= F.col("m")).cast("int").alias("fg"))
 
     def side(self, k: int) -> DataFrame:
         return self.pm.where(F.col("tile_id") % 2 == k).select(F.floor(F.col("tile_id") / 2).alias("pair_id"), "y", "x", "v", "fg")

@@ -104,9 +104,9 @@ def test_level_fallback(spark):
     assert {r.image: r.level for r in raster.pick_level(df).collect()} == {1: 2, 2: 0}
 
 
-def test_dice():
-    assert float(C.half_even is not None)
-    assert abs(16 / (22 + 1e-6) - 2 * 8 / (10 + 12 + 1e-6)) < 1e-12
+def test_dice(spark):
+    row = spark.range(1).select(C.dice(F.lit(8), F.lit(10), F.lit(12)).alias("d"), C.iou(F.lit(8), F.lit(10), F.lit(12)).alias("i")).first()
+    assert abs(row.d - 16 / (22 + 1e-6)) < 1e-12 and abs(row.i - 8 / (14 + 1e-6)) < 1e-12
 
 
 def test_ransac_recovers(spark):
