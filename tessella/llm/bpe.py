@@ -136,6 +136,10 @@ class Codec(dict):
                 heappush(queue, r << place | j)
         return [s for s in sym if s >= 0]
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def split(self, piece: str) -> list[str]:
         """The words that the pattern finds in a piece; for the two most usual kinds without it."""
         if piece.isalpha():
@@ -227,6 +231,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dec
                 if decoded:
                     out["_decoded"] = pa.array(map(codec.decode, rows), pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+        codec.forget()  # the worker may do other work next
 
     rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), *[F.lit("").alias("_decoded")] * decoded).schema
