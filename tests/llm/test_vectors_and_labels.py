@@ -94,6 +94,20 @@ def test_toxicity(labelled):
     assert {r.predicted for r in rows if r.doc_id >= 700} == {0}
 
 
+@pytest.mark.parametrize("every", [2, 3])
+def test_toxicity_at_any_share_of_labels(frame, spark, every):
+    """Half and two thirds of the labels toxic: the words that tell the labels apart still decide."""
+    import random
+
+    r = random.Random(8)
+    toxic = [int(i % every > 0) for i in range(700)]
+    texts = [" ".join([f"w{r.randrange(400)}" for _ in range(r.randint(5, 60))] + (["vile", "foul"] if bad else ["mild", "kind"])) for bad in toxic]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = toxicity.report(frame(texts), labels).collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 100 and all(r.predicted == toxic[r.doc_id] for r in held)
+
+
 def test_labels_outside_the_training_fold_change_nothing(labelled):
     docs, labels, _ = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
