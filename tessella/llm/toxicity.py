@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over an inverted index."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ from .decontaminate import TABLE
 MAX_EXAMPLES = 20_000
 #: Terms kept, at most, and the chi-square by which a term must tell the labels apart.
 MAX_TERMS, MIN_CHI2, MIN_SUPPORT = 8192, 15.0, 4
-#: Neighbours that vote, and examples in an index block.
-NEIGHBOURS, BLOCK = 25, 64
+#: Neighbours that vote.
+NEIGHBOURS = 25
 #: Lengths of the word beginnings that are terms beside the words.
 STEMS = (4, 5, 6, 7)
 #: Weight of the prior in a vote.
@@ -64,7 +64,7 @@ class TermIds(dict):
 
 @dataclass
 class Model:
-    """Examples as unit vectors, indexed forward and, by block maxima, backward."""
+    """Examples as unit vectors, indexed forward and, by postings, backward."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
@@ -73,7 +73,7 @@ class Model:
     ptr: np.ndarray = field(default=None)
     term: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    blocks: list = field(default=None)
+    postings: list = field(default=None)  # of each term: places, weights
     prior: float = 0.0
     blank: float = 0.0
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
@@ -87,52 +87,31 @@ class Model:
         return t, w / norm if norm else w
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Like examples (by their heaviest terms) side by side, which makes the block maxima tight."""
-        lead = [tuple(t[np.argsort(-w, kind="stable")][:3]) for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (lead[i], int(self.ids[i])))
-        self.labels, self.ids = self.labels[order], self.ids[order]
-        vectors = [vectors[i] for i in order]
         self.ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
         self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        of_block = np.repeat(np.arange(len(vectors)) // BLOCK, np.diff(self.ptr))
-        n_blocks = -(-len(vectors) // BLOCK) if vectors else 0
-        self.blocks = []
         by_term = np.argsort(self.term, kind="stable")
-        cut = np.searchsorted(self.term[by_term], np.arange(len(self.idf) + 1))
-        for i in range(len(self.idf)):
-            rows = by_term[cut[i] : cut[i + 1]]
-            top = np.zeros(n_blocks)
-            np.maximum.at(top, of_block[rows], self.weight[rows])
-            at = np.flatnonzero(top)
-            self.blocks.append((at, top[at]))
+        place = np.repeat(np.arange(len(vectors)), np.diff(self.ptr))[by_term]
+        cut = np.searchsorted(self.term[by_term], np.arange(1, len(self.idf)))
+        self.postings = list(zip(np.split(place, cut), np.split(self.weight[by_term], cut), strict=True))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, exactly; ties go to the lower place.
 
-        Blocks are taken by falling upper bound until none can hold a nearer one.
+        Every example that shares a term is compared, by the postings of the terms.
         """
-        n_blocks = -(-(len(self.ptr) - 1) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for i, x in zip(t.tolist(), w.tolist(), strict=True):
-            at, top = self.blocks[i]
-            bound[at] += x * top
-        query = np.zeros(len(self.idf))
-        query[t] = w
-        best, place = np.zeros(0), np.zeros(0, dtype=np.int64)
-        order = np.argsort(-bound, kind="stable")
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[k - 1] - 1e-12):
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ptr) - 1)
-            p = self.ptr[lo : hi + 1]
-            got = np.add.reduceat(self.weight[p[0] : p[-1]] * query[self.term[p[0] : p[-1]]], p[:-1] - p[0])
-            at = np.arange(lo, hi)
-            good = (got > 0) & (at != skip)
-            best, place = np.concatenate([best, got[good]]), np.concatenate([place, at[good]])
-            top = np.lexsort((place, -best))[:k]
-            best, place = best[top], place[top]
-        return place, best
+        n = len(self.ptr) - 1
+        some = [self.postings[i] for i in t.tolist()]
+        if not n or not some:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        place = np.concatenate([p for p, _ in some])
+        got = np.bincount(place, np.concatenate([x * y for x, (_, y) in zip(w.tolist(), some, strict=True)]), minlength=n)
+        if skip >= 0:
+            got[skip] = 0
+        least = np.partition(got, n - k)[n - k] if n > k else 0.0
+        at = np.flatnonzero((got > 0) & (got >= least))
+        at = at[np.lexsort((at, -got[at]))[:k]]
+        return at, got[at]
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         w = 1 / (1.02 - np.minimum(cosine, 1.0))

@@ -108,6 +108,28 @@ def test_toxicity_at_any_share_of_labels(frame, spark, every):
     assert len(held) > 100 and all(r.predicted == toxic[r.doc_id] for r in held)
 
 
+def test_clean_words_vote(frame, spark):
+    """A text with a word that is mostly toxic isn't toxic where words that speak for label 0 surround it."""
+    import random
+
+    r = random.Random(9)
+    clean, texts, toxic = ["novel", "review", "chapter", "author"], [], []
+    for i in range(1200):
+        t = [f"w{r.randrange(400)}" for _ in range(r.randint(5, 20))]
+        toxic.append(int(i % 6 == 0))
+        if toxic[-1]:
+            t += ["vile"]
+        elif i % 2:
+            t += clean + (["vile"] if i % 12 == 1 else [])
+        texts.append(" ".join(t))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    docs = frame(texts)
+    model = toxicity.fit(docs, labels)
+    assert {b"vile", *(x.encode() for x in clean)} <= model.vocabulary.keys()
+    held = [r for r in toxicity.score(docs, model).where(toxicity.held_out("_row.doc_id")).collect()]
+    assert len(held) > 100 and all((r._score >= 0.5) == toxic[r._row.doc_id] for r in held)
+
+
 def test_labels_outside_the_training_fold_change_nothing(labelled):
     docs, labels, _ = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
