@@ -23,7 +23,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: An entity has at most so many pieces, and a piece so many characters.
-MAX_PIECES, MAX_PIECE = 9, 40
+MAX_PIECES, MAX_PIECE = 17, 40
 PIECE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 #: Pieces around a digit, an at sign or a spelt-out one that are looked at together.
 REACH = 8
@@ -83,6 +83,8 @@ SHAPES = {
     "phone_3_3_4": re.compile(r"\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}"),
     "phone_00": re.compile(r"00[1-9][0-9]{0,2}[ .-][0-9 ().-]+"),
 }
+#: More of a domain.
+MORE = re.compile(r"\s*(?:[(\[{]\s*dot\s*[)\]}]|\s+dot\s+)\s*[A-Za-z0-9]|\.[A-Za-z0-9]", re.I)
 CUE = {
     "phone": re.compile(r"(?:phone|tel|telephone|call|mobile|fax|cell|telefon|tél)\W{0,3}$", re.I),
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit)\W{0,3}(?:no|number)?\W{0,3}$", re.I),
@@ -104,6 +106,8 @@ def features(text: str, lo: int, hi: int, kind: str) -> list[str]:
         out.append("cut_word")
     if lo and text[lo - 1] in "+.-/_#" or hi < len(text) and text[hi] in "-/_" and hi + 1 < len(text) and text[hi + 1].isalnum():
         out.append("cut_number")
+    if MORE.match(text, hi):
+        out.append("cut_domain")
     if d and not any(c.isalpha() for c in s):
         out.append("numeric")
     if s.isdigit():
@@ -228,7 +232,8 @@ def made_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[in
     def email():
         at = r.choice([" (at) ", " [at] ", "(at)", " at ", "[at]", " @ "])
         dot = r.choice([" (dot) ", " [dot] ", "(dot)", " dot ", "[dot]"]) if at != " @ " else r.choice([".", " dot "])
-        return word() + at + word() + dot + r.choice(["com", "org", "net", "de", "info"])
+        host = word() + (dot + word() if r.random() < 0.3 else "")
+        return word() + at + host + dot + r.choice(["com", "org", "net", "de", "info"])
 
     def ip():
         return r.choice(["[.]", "(.)", "[dot]", " (dot) "]).join(str(r.randint(1, 255)) for _ in range(4))

@@ -274,6 +274,26 @@ def test_added_spans():
     assert hit / (hit + miss) > 0.6 and hit / (hit + wrong) > 0.8
 
 
+def test_added_spans_of_each_kind():
+    field = pii.trained()
+    hit, all_of = [0] * 4, [0] * 4
+    for text, gold in pii.made_examples(300, seed=5):
+        got = set(pii.added_spans(text, pii.base_spans(text), field))
+        for lo, hi, k in gold:
+            all_of[k] += 1
+            hit[k] += (lo, k, hi) in got
+    assert all(h / n > 0.6 for h, n in zip(hit, all_of, strict=True)), (hit, all_of)
+
+
+@pytest.mark.parametrize(
+    ("kind", "entity"),
+    [(1, "192[.]168[.]1[.]1"), (1, "10(.)20(.)30(.)40"), (1, "10 (dot) 20 (dot) 30 (dot) 40"), (0, "john.doe (at) example (dot) com"), (0, "ann (at) mail (dot) example (dot) com")],
+)
+def test_long_entities_are_found_whole(kind, entity):
+    text = f"see the page of {entity} for more"
+    assert (16, kind, 16 + len(entity)) in pii.added_spans(text, pii.base_spans(text), pii.trained())
+
+
 def test_field_sums_agree_with_enumeration():
     """The best segmentation by dynamic programming is the best of all."""
     field = pii.trained()
