@@ -8,6 +8,7 @@ every candidate is computed in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +145,31 @@ def _compare(geo: Geometry):
     return run
 
 
+def _links_of(distinct: DataFrame, geo: Geometry) -> DataFrame:
+    """Counts and spanning edges (``k``, ``n``, ``root``) of distinct vectors of one length, written."""
+    spread = stash(
+        distinct.select("label", "k", "v").mapInArrow(_spread(geo), "label int, block int, cx int, cy int, k long")
+    )
+    cell = ["label", "block", "cx", "cy"]
+    sizes = spread.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
+    cut = spread.join(sizes, cell).withColumn("piece", F.pmod(F.xxhash64("k", F.lit(3)), F.col("pieces")).cast("int"))
+    paired = cut.select(
+        *cell, "k", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
+    ).select(
+        *cell, "k", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"),
+        F.when(F.col("piece") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"),
+    )
+    full = paired.join(distinct.select("k", "v", "copies"), "k")
+    return stash(full.groupBy(*cell, "p", "q").applyInArrow(_compare(geo), "k long, n long, root long"))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links of each vector: ``vec_id``, ``n_links``, ``component_id`` and ``kept``, one row a vector.
 
     Only vectors of equal labels link. Vectors that are null, empty, all zero or hold null or
-    non-finite components, and those with a null label, link with nothing. Vectors of another
-    length than most (the longest) link with nothing either. Equal vectors are one for the search
-    and count as often as they occur; rows may repeat an id.
+    non-finite components, and those with a null label, link with nothing. Each length is searched
+    on its own, as only vectors of equal length link. Equal vectors are one for the search and count
+    as often as they occur; rows may repeat an id.
     """
     e = F.col("embedding")
     usable = (
@@ -159,8 +178,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         & F.exists(e, lambda x: x != 0)
     )
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("ok"))
-    d = rows.where("ok").agg(F.max(F.size("embedding"))).first()[0] or 0
-    good = rows.where(F.col("ok") & (F.size("embedding") == d))
+    lengths = sorted(r[0] for r in rows.where("ok").select(F.size("embedding")).distinct().collect())
+    good = rows.where("ok")
     # -0.0 and 0.0 are one value
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
     keyed = good.select("vec_id", "label", v.alias("v")).withColumns(
@@ -171,26 +190,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")
         ).withColumn("k", F.xxhash64("h1", "h2"))
     )
-    if not d:
-        links, roots = None, None
-    else:
-        geo = Geometry(d, cosine)
-        spread = stash(
-            distinct.select("label", "k", "v").mapInArrow(_spread(geo), "label int, block int, cx int, cy int, k long")
-        )
-        cell = ["label", "block", "cx", "cy"]
-        sizes = spread.groupBy(*cell).agg(F.count("*").alias("size")).where("size > 1").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
-        cut = spread.join(sizes, cell).withColumn("piece", F.pmod(F.xxhash64("k", F.lit(3)), F.col("pieces")).cast("int"))
-        paired = cut.select(
-            *cell, "k", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-        ).select(
-            *cell, "k", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"),
-            F.when(F.col("piece") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-        )
-        full = paired.join(distinct.select("k", "v", "copies"), "k")
-        links = stash(
-            full.groupBy(*cell, "p", "q").applyInArrow(_compare(geo), "k long, n long, root long")
-        )
+    found = [_links_of(distinct.where(F.size("v") == d) if len(lengths) > 1 else distinct, Geometry(d, cosine)) for d in lengths]
+    links = reduce(DataFrame.unionByName, found) if found else None
+    if links is not None:
         roots = connected_components(links.where("k <> root").select(F.col("k").alias("u"), F.col("root").alias("v")))
     if links is None:
         counted = distinct.select("k", F.lit(0).cast("long").alias("n"), F.col("k").alias("root"))
@@ -204,7 +206,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     lowest = whole.groupBy("root").agg(F.min("least").alias("component"))
     answer = whole.join(lowest, "root").select("h1", "h2", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component")
     linked = keyed.select("vec_id", "h1", "h2").join(answer, ["h1", "h2"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
-    rest = rows.where(~(F.col("ok") & (F.size("embedding") == d))).select(
+    rest = rows.where("not ok").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return linked.unionByName(rest).select(

@@ -52,6 +52,13 @@ def test_links(spark, piece, monkeypatch):
     assert len(vectors.near_vectors(df.where("embedding is null")).collect()) == 1
 
 
+def test_links_of_each_length(spark):
+    vs = made(2, 3, 5, 0.1) + made(3, 2, 4, 0.1, d=5) + made(4, 1, 1, 0.1, d=17) + [[1.0], [2.0], [-1.0]]
+    rows = [(i, v, 0) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == brute(rows)
+
+
 def test_pigeonhole():
     geo = vectors.Geometry(64, 0.93)
     r = np.random.default_rng(0)
