@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 19
 #: A side of a join is broadcast only when its rows, counted before, stay below this.
 BROADCAST_ROWS = 200_000
+#: Likewise, where rows hold arrays: the bytes of all of them.
+BROADCAST_BYTES = 64 << 20
 #: Stands for a null document id inside joins; never shown.
 NO_ID = -(1 << 63)
 
@@ -159,6 +162,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+#: Odd multipliers of the two families of hashes.
+STEP = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
+
+
+def doubled(ids: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Hashes of every ``n`` consecutive values, by doubling: each round mixes what the round before made.
+
+    Unlike polynomials modulo 2**64, which all odd bases send to one value for some texts, a mixed
+    hash isn't linear, so no text collides by its letters' pattern.
+    """
+    if len(ids) < n:
+        return ids[:0]
+    have = 1
+    while have * 2 <= n:
+        ids = mix(ids[:-have] * STEP[k] + ids[have:])
+        have *= 2
+    rest = n - have
+    return mix(ids[:-rest] * STEP[1 - k] + ids[rest:]) if rest else ids
+
+
+def digest(buf: bytes, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH3 of the slices [lo, hi) of a buffer."""
+    xx = xxhash.xxh3_64_intdigest
+    return np.fromiter((xx(buf[s:e], seed) for s, e in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=U64, count=len(lo))
+
+
 def prefix(values: np.ndarray, k: int) -> np.ndarray:
     """Prefix sums of ``values[j] * base**j``: the hash of any slice follows from two of them."""
     out = np.zeros(len(values) + 1, dtype=U64)
@@ -171,6 +200,18 @@ def between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndar
     return mix((sums[hi] - sums[lo]) * powers(len(sums), k)[1][lo])
 
 
+class Digests(dict):
+    """XXH3 of words; remembers those of usual length."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 64:
+            self[word] = h
+        return h
+
+
 class Words:
     """The words of some texts, one after another, as bounds in one buffer.
 
@@ -196,6 +237,7 @@ class Words:
         else:
             self.start = self.end = np.zeros(0, dtype=np.int64)
         self.doc = np.repeat(np.arange(len(texts)), counts)
+        self.parts = parts
 
     def __len__(self) -> int:
         return len(self.start)
@@ -203,6 +245,10 @@ class Words:
     def hashes(self, k: int = 0) -> np.ndarray:
         return between(prefix(self.bytes + np.uint8(1), k), self.start, self.end, k)
 
+    def digests(self, memory: Digests) -> np.ndarray:
+        """XXH3 of each word."""
+        return np.fromiter(map(memory.__getitem__, self.parts), dtype=U64, count=len(self.parts))
+
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the links (a, b)."""

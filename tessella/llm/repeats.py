@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bucketed, chunked, doc_key, mix, stash, texts_of, utf8
+from .common import BROADCAST_BYTES, bucketed, chunked, doc_key, mix, stash, texts_of, utf8
 
 #: Rows of one anchor that are held at once; more of them are settled in parts.
 GROUP_ROWS = 1 << 17
 HULL, OPEN = 1, 2
-#: Documents with repeats, up to which their positions are broadcast to the texts.
-FEW = BROADCAST_ROWS
+#: Bytes of the positions of all documents with repeats, up to which they are broadcast to the texts.
+FEW = BROADCAST_BYTES
 #: What a chunk knows of its rows, beside 1 for several equal ones.
 MIXED, SETTLED = 4, 16
 
@@ -306,22 +306,25 @@ def remove_repeats(docs: DataFrame, spec, text_col: str = "text", keep: list[str
     Returns ``_row`` (struct of the document's columns, or those of ``keep``), ``_kept`` (binary), ``_n`` (units),
     ``_n_removed`` and ``_n_spans`` (maximal runs removed). Null texts count as empty. Rows that
     repeat id and text are separate documents, so each is a repeat of the other. Texts are read
-    again for each step; between the steps only positions are kept. They are broadcast if at most
-    ``FEW`` documents have any; else the texts are dealt once into buckets of their documents, and
-    each step moves positions only.
+    again for each step; between the steps only positions are kept. They are broadcast where their
+    summed bytes are at most ``FEW``; else the texts are dealt once into buckets of their documents,
+    and each step moves positions only.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, text_col, keep)
     anchors = texts.drop("_row").where("_text is not null").mapInArrow(_anchor_rows(spec), ROW_DDL)
     width = spec.reach
     steps = [stash(_by_document(_sorted_walk(anchors, _settle_anchors, n), width, n))]
-    few = steps[0].count() <= FEW
-    if not few:
-        texts = bucketed(texts, ["_id", "_t"], n)
+    dealt: list[DataFrame] = []
 
     def met(side: DataFrame, how: str) -> DataFrame:
         """Texts with what is known of their documents: positions travel, texts stay where they are."""
-        return texts.join(F.broadcast(side) if few else side.hint("shuffle_hash"), ["_id", "_t"], how)
+        held = sum((F.size(c) for c in side.columns[2:]), F.lit(0))
+        if (side.agg(F.sum(32 + 4 * held)).first()[0] or 0) <= FEW:
+            return (dealt[0] if dealt else texts).join(F.broadcast(side), ["_id", "_t"], how)
+        if not dealt:
+            dealt.append(bucketed(texts, ["_id", "_t"], n))
+        return dealt[0].join(side.hint("shuffle_hash"), ["_id", "_t"], how)
 
     def opened(found: DataFrame) -> DataFrame:
         todo = found.where(F.size("open") > 0).select("_id", "_t", "open")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, between, mix, prefix
+from .common import STEP, U64, Digests, Words, doubled, mix
 from .repeats import remove_repeats
 
 #: Words in a window.
@@ -16,6 +16,8 @@ WINDOW = 35
 #: A perfect difference set: every difference modulo the period is one of two members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
+_words = Digests()
+
 
 @dataclass(frozen=True)
 class CoverSpec:
@@ -40,12 +42,13 @@ class CoverSpec:
     def units(self, texts: list[bytes | None]) -> Words:
         return Words(texts)
 
-    def _sums(self, w: Words, k: int) -> np.ndarray:
-        if not hasattr(w, "sums"):
-            w.sums = {}
-        if k not in w.sums:
-            w.sums[k] = prefix(w.hashes(k), k)
-        return w.sums[k]
+    def _runs(self, w: Words, n: int, k: int) -> np.ndarray:
+        """Hash of every ``n`` consecutive words, from XXH3 of the words' bytes."""
+        if not hasattr(w, "runs"):
+            w.runs = {0: w.digests(_words)}
+        if (n, k) not in w.runs:
+            w.runs[n, k] = doubled(w.runs[0], n, k)
+        return w.runs[n, k]
 
     def anchors(self, w: Words):
         long = w.n >= self.window
@@ -60,15 +63,17 @@ class CoverSpec:
         at = at[on[p % PERIOD] & long[w.doc] & (p + self.run <= w.n[w.doc])]
         doc = w.doc[at]
         p = at - w.first[doc]
-        a = between(self._sums(w, 0), at, at + self.run, 0)
+        a = self._runs(w, self.run, 0)[at]
+        # a hull holds at least a window of words and less than two: its first and last window make it
         lo, hi = np.maximum(0, p - self.reach), np.minimum(w.n[doc], p + self.window)
-        hull = between(self._sums(w, 1), w.first[doc] + lo, w.first[doc] + hi, 1)
-        b = mix(hull + (p - lo).astype(U64) * U64(0x9E3779B97F4A7C15) + (hi - p).astype(U64))
+        ends = self._runs(w, self.window, 1)
+        hull = mix(ends[w.first[doc] + lo] * STEP[0] + ends[w.first[doc] + hi - self.window])
+        b = mix(hull + (p - lo).astype(U64) * STEP[0] + (hi - p).astype(U64))
         return doc, p, a, b
 
     def names(self, w: Words, doc: np.ndarray, at: np.ndarray):
         s = w.first[doc] + at
-        return tuple(between(self._sums(w, k), s, s + self.window, k) for k in (0, 1))
+        return tuple(self._runs(w, self.window, k)[s] for k in (0, 1))
 
     def keep(self, w: Words, i: int, gone: np.ndarray) -> bytes:
         lo = w.first[i]

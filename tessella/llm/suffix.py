@@ -8,12 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, between, mix, prefix
+from .common import STEP, U64, digest, doubled, mix
 from .repeats import remove_repeats
 
 #: Bytes in a repeated string, and in the q-grams that make the initial buckets.
 WINDOW, GRAM = 400, 48
-_STEP = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
 
 
 class Bytes:
@@ -36,6 +35,13 @@ def sliding(pick: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def eights(x: np.ndarray) -> np.ndarray:
+    """Every 8 consecutive bytes as one number."""
+    if len(x) < 8:
+        return np.zeros(0, dtype=U64)
+    return np.lib.stride_tricks.sliding_window_view(x, 8).copy().view(U64).reshape(-1)
+
+
 @dataclass(frozen=True)
 class BucketSpec:
     """Suffixes in buckets of equal q-grams, refined until buckets hold equal strings of ``window`` bytes.
@@ -65,9 +71,7 @@ class BucketSpec:
         docs = np.flatnonzero(u.n >= self.window)
         if not len(docs):
             return none, none, none.view(U64), none.view(U64)
-        sums = prefix(u.bytes + np.uint8(1), 0)
-        at = np.arange(len(u.bytes) - self.gram + 1)
-        h = between(sums, at, at + self.gram, 0)
+        h = doubled(eights(u.bytes), self.gram - 7, 0)  # a q-gram is as many overlapping words of 8 bytes
         start = np.zeros(len(u.bytes) + 1, dtype=np.int64)  # which positions start a window
         start[u.first[docs]] += 1
         start[u.first[docs] + u.n[docs] - self.window + 1] -= 1
@@ -84,19 +88,15 @@ class BucketSpec:
         doc, p = doc[fits], p[fits]
         base = u.first[doc]
         lo, hi = np.maximum(0, p - self.reach), np.minimum(u.n[doc], p + self.window)
-        sums1 = prefix(u.bytes + np.uint8(1), 1)
-        hull = between(sums1, base + lo, base + hi, 1)
-        b = mix(hull + (p - lo).astype(U64) * _STEP[0] + (hi - p).astype(U64))
+        b = mix(digest(u.buf, base + lo, base + hi) + (p - lo).astype(U64) * STEP[0] + (hi - p).astype(U64))
         return doc, p, h[base + p], b
 
     def nodes(self, u: Bytes, doc: np.ndarray, q: np.ndarray, width: int):
         """Identifiers of what the strings at q - width to q have in common, and of all they hold."""
         base = u.first[doc]
-        plain, other = (prefix(u.bytes + np.uint8(1), k) for k in (0, 1))
-        common = between(plain, base + q, base + q - width + self.window, 0)
+        common = digest(u.buf, base + q, base + q - width + self.window, 1)
         lo, hi = np.maximum(0, q - width), np.minimum(u.n[doc], q + self.window)
-        hull = between(other, base + lo, base + hi, 1)
-        return common, mix(hull + (q - lo).astype(U64) * _STEP[0] + (hi - q).astype(U64))
+        return common, mix(digest(u.buf, base + lo, base + hi) + (q - lo).astype(U64) * STEP[0] + (hi - q).astype(U64))
 
     def names(self, u: Bytes, doc: np.ndarray, at: np.ndarray):
         """Bucket identifiers of the suffixes (doc, at), refined to ``window`` bytes."""
@@ -111,13 +111,7 @@ class BucketSpec:
         return tuple(self._refine(pieces, k)[place] for k in (0, 1))
 
     def _refine(self, pieces: np.ndarray, k: int) -> np.ndarray:
-        have = 8
-        ids = np.lib.stride_tricks.sliding_window_view(pieces, have).copy().view(U64).reshape(-1)
-        while have * 2 <= self.window:
-            ids = mix(ids[:-have] * _STEP[k] + ids[have:])
-            have *= 2
-        rest = self.window - have
-        return mix(ids[: len(ids) - rest] * _STEP[1 - k] + ids[rest:]) if rest else ids
+        return doubled(mix(eights(pieces)), self.window - 7, k)
 
     def keep(self, u: Bytes, i: int, gone: np.ndarray) -> bytes:
         return u.bytes[u.first[i] : u.first[i + 1]][~gone].tobytes()

@@ -100,3 +100,18 @@ def test_many_sharers(frame):
     assert {r.n_removed for r in substring.report(df).collect()} == {110}
     n = len(passage.encode())
     assert all(n <= r.n_removed <= n + 16 for r in suffix.report(df).collect())
+
+
+def thue_morse(n):
+    """Two words that any polynomial hash modulo 2**64 with an odd base sends to one value."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return tuple("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+
+
+def test_words_that_polynomials_confuse(frame):
+    rest = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{w} {rest}" for w in thue_morse(4096)] + [f"x {w[:600]} y" for w in thue_morse(4096)]
+    assert {r.n_removed for r in substring.report(frame(texts)).collect()} == {0}
+    want = brute(texts, lambda t: t.encode(), 400, bytes)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.report(frame(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [w[:3] for w in want]
