@@ -12,11 +12,20 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Only where executors share the driver's disk, as in tests, is an unset one replaced by a temporary folder of our own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
     return _own[app]
