@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import drop as _drop
+from ..lineage import written as stash
+
 U64 = np.uint64
 #: Bytes of text that a kernel handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -25,38 +27,6 @@ BROADCAST_BYTES = 64 << 20
 #: Stands for a null document id inside joins; never shown.
 NO_ID = -(1 << 63)
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return _own_dirs[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit
-        pass
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``df`` as a table in n buckets of ``keys``: one shuffle, after which joins on them move the other side only."""
     spark = df.sparkSession

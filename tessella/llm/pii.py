@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import chunked, texts_of
 
-KINDS = ("email", "ip", "card", "phone")
+#: The fixed patterns' kinds, and after them the one that only the field finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 # The contract's patterns, written so that no text takes quadratic time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -27,7 +29,7 @@ MAX_PIECES, MAX_PIECE = 17, 40
 PIECE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 #: Pieces around a digit, an at sign or a spelt-out one that are looked at together.
 REACH = 8
-TRIGGER = re.compile(r"[0-9]{2}|@|[(\[{](?:at|dot)[)\]}]|\b(?:at|dot)\b[^\n]{1,40}\bdot\b", re.IGNORECASE)
+TRIGGER = re.compile(r"[0-9]{2}|[0-9][A-Za-z]{1,8}[0-9]|@|[(\[{](?:at|dot)[)\]}]|\b(?:at|dot)\b[^\n]{1,40}\bdot\b", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +84,13 @@ SHAPES = {
     "card_groups": re.compile(r"[0-9]{4}([./_:|])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}"),
     "phone_3_3_4": re.compile(r"\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}"),
     "phone_00": re.compile(r"00[1-9][0-9]{0,2}[ .-][0-9 ().-]+"),
+    "hex": re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}"),
+    "key_prefix": re.compile(r"(?:sk|pk|rk)[-_].+|gh[a-z]_.+|glpat-.+|xox[a-z]-.+|A[A-Z]IA[A-Z0-9]+|eyJ.+"),
+    "uuid": re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I),
 }
+#: A stretch that a secret may be, and what may stand around one.
+KEY = re.compile(r"[A-Za-z0-9_+/=.!#$%&*~-]+")
+ASSIGNED = re.compile(r"(?:=|:|=>|\bis)\s*[\"'`]?$")
 #: More of a domain.
 MORE = re.compile(r"\s*(?:[(\[{]\s*dot\s*[)\]}]|\s+dot\s+)\s*[A-Za-z0-9]|\.[A-Za-z0-9]", re.I)
 CUE = {
@@ -90,7 +98,12 @@ CUE = {
     "card": re.compile(r"(?:card|visa|mastercard|amex|credit)\W{0,3}(?:no|number)?\W{0,3}$", re.I),
     "email": re.compile(r"(?:e-?mail|mail|contact|write to)\W{0,3}$", re.I),
     "ip": re.compile(r"(?:ip|host|address|server)\W{0,3}$", re.I),
+    "secret": re.compile(r"(?:token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passw(?:or)?d|pwd|passwort|credential|bearer|auth)s?[\"']?(?:\s+is)?[\s=:>\"'`]{0,5}$", re.I),
 }
+#: Words of sentences, which addresses that are spelt out seldom hold.
+PLAIN = frozenset("the of and a an in is as to for der die das und la le les de et el los que y".split())
+#: What is written before digests that open no door.
+DIGEST_CUE = re.compile(r"(?:commit|sha-?1|sha-?256|md5|checksum|digest|hash|revision|uuid|etag|build)\W{0,4}$", re.I)
 
 
 def features(text: str, lo: int, hi: int, kind: str) -> list[str]:
@@ -112,6 +125,20 @@ def features(text: str, lo: int, hi: int, kind: str) -> list[str]:
         out.append("numeric")
     if s.isdigit():
         out.append("bare")
+    if kind == "email" and not PLAIN.isdisjoint(re.split(r"[^a-z]+", s.lower())):
+        out.append("plain_words")
+    if kind == "secret":
+        out.append(f"turns{min(sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False)), 9) // 3}")
+        out.append(f"length{min(len(s), 48) // 8}")
+        before = text[max(0, lo - 16) : lo]
+        if ASSIGNED.search(before):
+            out.append("assigned")
+        if DIGEST_CUE.search(before):
+            out.append("digest")
+        if lo and hi < len(text) and text[lo - 1] == text[hi] and text[hi] in "\"'`":
+            out.append("quoted")
+        if (lo and KEY.fullmatch(text[lo - 1])) or (hi < len(text) and KEY.fullmatch(text[hi]) and text[hi] not in ".!"):
+            out.append("cut_key")
     return [f"{kind}|{f}" for f in out]
 
 
@@ -127,6 +154,8 @@ def gates(text: str, lo: int, hi: int) -> Iterator[int]:
             yield 1
         if 14 <= n <= 19 and s[0].isdigit():
             yield 2
+    if hi - lo >= 10 and n >= 2 and s[0].isalnum() and s.isascii() and KEY.fullmatch(s) and sum(c.isalpha() for c in s) >= 2:
+        yield 4
     if 10 <= n <= 15 and hi - lo <= 24 and (s[0].isdigit() or s[0] == "(") and s[-1].isdigit():
         yield 3
 
@@ -214,11 +243,13 @@ def pieces_of(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return out
 
 
-def made_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def made_examples(n: int = 1200, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Sentences with entities in forms that the fixed patterns miss, and numbers that are none."""
     r = random.Random(seed)
     filler = "the order of a ref with on total from version page item and see for at is table in dot line".split()
 
+    plain = sorted(PLAIN)
+
     def num(k):
         return "".join(r.choice("0123456789") for _ in range(k))
 
@@ -245,6 +276,23 @@ def made_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[in
         c, sep = card(), r.choice("./_:|")
         return sep.join(c[i : i + 4] for i in range(0, 16, 4))
 
+    def some(letters, lo, hi):
+        return "".join(r.choice(letters) for _ in range(r.randint(lo, hi)))
+
+    def code():
+        small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        body = r.choice([some("0123456789abcdef", 32, 64), some(small + large + "0123456789", 16, 44), some(small + "0123456789", 12, 40), some(large + "0123456789", 16, 32)])
+        while sum(c.isdigit() for c in body) < 2 or sum(c.isalpha() for c in body) < 2:
+            body = some(small + "0123456789", 14, 40)
+        return body
+
+    def secret():
+        return r.choice(["", "", "", "sk-", "ghp_", "xoxb-", "AKIA"]) + code()
+
+    def secret_cue():
+        name = r.choice(["token", "secret", "api_key", "API key", "password", "access_key", "SECRET_KEY", "TOKEN", "auth token", "pwd"])
+        return name + r.choice([" = ", "=", ": ", ":", " is ", " => "]) + r.choice(['"', "'", "", "`"])
+
     def no_luhn(c):
         return c[:-1] + str((int(c[-1]) + r.randint(1, 9)) % 10)
 
@@ -252,12 +300,14 @@ def made_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[in
         return r.choice([
             num(16), no_luhn(card()), num(10), num(12), num(20), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}",
             f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)}.{num(1)}.{num(2)}", f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}",
-            f"{num(3)}.{num(3)},{num(2)}", f"{word()} at {word()} dot", f"at the {word()}. {word()}", num(40), f"{num(5)}-{num(5)}",
+            f"{num(3)}.{num(3)},{num(2)}", f"{word()} at {word()} dot", f"{word()} at {r.choice(plain)} dot {r.choice(plain)} {word()}", f"{word()} at {word()} and. {word()} in {word()}", f"at the {word()}. {word()}", num(40), f"{num(5)}-{num(5)}",
             ".".join(no_luhn(card())[i : i + 4] for i in range(0, 16, 4)), f"{num(3)} {num(3)} {num(4)}", f"@{word()}", f"{num(4)} {num(4)} {num(4)} {num(4)}",
-            f"{num(8)}a{num(6)}", f"{word()} at {word()} {num(2)}. {word()}", f"{num(3)}-{num(4)}", f"{num(2)}-{num(3)}-{num(3)}-{num(4)}",
+            f"{num(8)}a{num(6)}", f"commit {some('0123456789abcdef', 40, 40)}", f"sha256: {some('0123456789abcdef', 64, 64)}", f"md5 {some('0123456789abcdef', 32, 32)}",
+            f"{word()}-{num(4)}-{word()}.html", f"{word()}_{num(2)}_{word()}", f"the token {word()}", f"password of {word()} {num(2)}", f"{word()}{num(2)}.{word()}{num(3)}.{word()}",
+            f"uuid {some('0123456789abcdef', 8, 8)}-{num(4)}-{num(4)}-{num(4)}-{some('0123456789abcdef', 12, 12)}", f"{some('ABCDEFGHJKLMNPQRSTUVWXYZ', 2, 3)}-{num(4)}-{num(4)}", f"{word()} at {word()} {num(2)}. {word()}", f"{num(3)}-{num(4)}", f"{num(2)}-{num(3)}-{num(3)}-{num(4)}",
         ])
 
-    makers = [(email, 0), (ip, 1), (grouped, 2), (phone, 3)]
+    makers = [(email, 0), (ip, 1), (grouped, 2), (phone, 3), (secret, 4)]
     cues = {0: "email ", 1: "host ", 2: "card ", 3: "phone "}
     out = []
     for _ in range(n):
@@ -266,10 +316,12 @@ def made_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[in
             text += " ".join(r.choice(filler) for _ in range(r.randint(1, 5))) + " "
             if r.random() < 0.5:
                 make, k = r.choice(makers)
-                text += cues[k] if r.random() < 0.4 else ""
+                before = (secret_cue() if k == 4 else cues[k]) if k == 4 or r.random() < 0.4 else ""
+                text += before
                 lo = len(text)
                 text += make()
                 gold.append((lo, len(text), k))
+                text += before[-1] if before[-1:] in ('"', "'", "`") else ""
             else:
                 text += none()
             text += r.choice([" ", ", ", ". "])
@@ -354,12 +406,14 @@ def report(docs: DataFrame) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    def count(kind):
-        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def count(spans, kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return find(docs, keep=["doc_id"]).select(
         F.col("_row.doc_id").alias("doc_id"),
-        *[count(k) for k in KINDS],
+        *[count(base, k) for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("_spans")).alias("spans"),
+        count(F.col("_spans"), "secret"),
+        F.size("_spans").cast("long").alias("n_spans"),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunked, small_batches, texts_of
@@ -16,8 +16,11 @@ from .decontaminate import TABLE
 
 #: Labelled rows that the examples are drawn from, at most: those of least hash.
 MAX_EXAMPLES = 20_000
-#: Terms kept, at most, and the chi-square by which a term must tell the labels apart.
-MAX_TERMS, MIN_CHI2, MIN_SUPPORT = 8192, 15.0, 4
+#: Terms of the vectors: those that tell the labels of the examples apart at the 1 % level (chi-square
+#: with one degree of freedom), in so many examples at least. There is no cap on their number.
+MIN_CHI2, MIN_SUPPORT = 6.635, 4
+#: Examples in a block of the index.
+BLOCK = 64
 #: Neighbours that vote.
 NEIGHBOURS = 25
 #: Lengths of the word beginnings that are terms beside the words.
@@ -64,7 +67,10 @@ class TermIds(dict):
 
 @dataclass
 class Model:
-    """Examples as unit vectors, indexed forward and, by postings, backward."""
+    """Examples as unit vectors, with a block-max index: each term's largest weight in every block of examples.
+
+    Examples lie in order of their heaviest term, so that a block's vectors are alike and its maxima tight.
+    """
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
@@ -73,7 +79,9 @@ class Model:
     ptr: np.ndarray = field(default=None)
     term: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    postings: list = field(default=None)  # of each term: places, weights
+    block_ptr: np.ndarray = field(default=None)  # of each term: its blocks, and its largest weight in each
+    block: np.ndarray = field(default=None)
+    top: np.ndarray = field(default=None)
     prior: float = 0.0
     blank: float = 0.0
     knots: tuple = ((0.0, 1.0), (0.0, 1.0))
@@ -90,28 +98,44 @@ class Model:
         self.ptr = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
         self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        by_term = np.argsort(self.term, kind="stable")
-        place = np.repeat(np.arange(len(vectors)), np.diff(self.ptr))[by_term]
-        cut = np.searchsorted(self.term[by_term], np.arange(1, len(self.idf)))
-        self.postings = list(zip(np.split(place, cut), np.split(self.weight[by_term], cut), strict=True))
+        block = np.repeat(np.arange(len(vectors)), np.diff(self.ptr)) // BLOCK
+        order = np.lexsort((block, self.term))
+        t, b = self.term[order], block[order]
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (b[1:] != b[:-1]))) if len(t) else np.zeros(0, np.int64)
+        self.block, self.top = b[first], np.maximum.reduceat(self.weight[order], first) if len(t) else self.weight
+        self.block_ptr = np.searchsorted(t[first], np.arange(len(self.idf) + 1))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, exactly; ties go to the lower place.
 
-        Every example that shares a term is compared, by the postings of the terms.
+        No example of a block is nearer than the block's bound, the sum of its terms' maxima. Blocks
+        are compared in order of their bounds until the next bound is below the k-th cosine.
         """
         n = len(self.ptr) - 1
-        some = [self.postings[i] for i in t.tolist()]
-        if not n or not some:
+        if not n or not len(t):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        place = np.concatenate([p for p, _ in some])
-        got = np.bincount(place, np.concatenate([x * y for x, (_, y) in zip(w.tolist(), some, strict=True)]), minlength=n)
-        if skip >= 0:
-            got[skip] = 0
-        least = np.partition(got, n - k)[n - k] if n > k else 0.0
-        at = np.flatnonzero((got > 0) & (got >= least))
-        at = at[np.lexsort((at, -got[at]))[:k]]
-        return at, got[at]
+        at, size = _ranges(self.block_ptr[t], self.block_ptr[t + 1])
+        bound = np.bincount(self.block[at], self.top[at] * np.repeat(w, size), minlength=-(-n // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order] + 1e-9
+        query = np.zeros(len(self.idf))
+        query[t] = w
+        place, got = np.zeros(0, dtype=np.int64), np.zeros(0)
+        least, done, step = 1e-9, 0, 4
+        while done < len(order) and bound[done] > least:
+            some = order[done : done + step]
+            some = np.sort(some[bound[done : done + step] > least])
+            rows, _ = _ranges(some * BLOCK, np.minimum(some * BLOCK + BLOCK, n))
+            at, size = _ranges(self.ptr[rows], self.ptr[rows + 1])
+            cosine = np.add.reduceat(query[self.term[at]] * self.weight[at], np.cumsum(size) - size)
+            near = (cosine > 0) & (rows != skip)
+            place, got = np.append(place, rows[near]), np.append(got, cosine[near])
+            best = np.lexsort((place, -got))[:k]
+            place, got = place[best], got[best]
+            if len(got) == k:
+                least = float(got[-1])
+            done, step = done + step, step * 2
+        return place, got
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         w = 1 / (1.02 - np.minimum(cosine, 1.0))
@@ -129,6 +153,12 @@ class Model:
         return self.calibrated(self.vote(place, cosine)), self.ids[place[:3]].tolist()
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [lo, hi), one after another, and the size of each."""
+    size = hi - lo
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Knots of the isotonic regression of y on x (pool adjacent violators)."""
     order = np.argsort(x, kind="stable")
@@ -178,8 +208,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Choose terms that tell the labels apart, weigh them over all documents, index the examples.
 
-    The driver gets at most ``max_examples`` sparse examples and ``MAX_TERMS`` terms. Document
-    frequencies are counted over every document.
+    The driver gets at most ``max_examples`` sparse examples and the terms that tell their labels
+    apart, whose number the examples bound. Document frequencies are counted over every document.
+    Examples vote on each other, each left out in turn, on the executors.
     """
     small_batches(docs.sparkSession)
     examples = labelled(docs, labels, max_examples)
@@ -194,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     chi2 = F.lit(n) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * float(n1 or 1) * float(n0 or 1), F.lit(1.0))
     best = (
         sums.where(F.col("a") + F.col("b") >= MIN_SUPPORT).withColumn("x", chi2).where(F.col("x") >= MIN_CHI2)
-        .orderBy(F.desc("x"), "term").limit(MAX_TERMS).select("term").collect()
+        .orderBy(F.desc("x"), "term").select("term").collect()
     )
     vocabulary = {bytes(r[0]): i for i, r in enumerate(best)}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -238,19 +269,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     rows.sort(key=lambda r: (r.doc_id, r.t, r.n))
     blank = [r.label for r in rows if not r.t]
     rows = [r for r in rows if r.t]
+    vectors = Model(vocabulary, idf, np.zeros(0), np.zeros(0))
+    made = [vectors.vector(Counter(dict(zip(r.t, r.n, strict=True)))) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (int(made[i][0][np.argmax(made[i][1])]), -float(made[i][1].max()), rows[i].doc_id, i))
+    rows = [rows[i] for i in order]
     model = Model(vocabulary, idf, np.array([r.label for r in rows], dtype=np.float64), np.array([r.doc_id for r in rows], dtype=np.int64))
-    model.index([model.vector(Counter(dict(zip(r.t, r.n, strict=True)))) for r in rows])
-    model.prior = float((n1 + 0.5) / (n1 + n0 + 1))
+    model.index([made[i] for i in order])
+    model.prior = float((n1 + 0.5) / (n1 + n0 + 1)) if n1 + n0 else 0.0
     model.blank = float((sum(blank) + 0.5) / (len(blank) + 1)) if blank else model.prior
     if len(rows) > 1:
-        own = []
-        for i in range(len(rows)):
-            t, w = (x[model.ptr[i] : model.ptr[i + 1]] for x in (model.term, model.weight))
-            own.append(model.vote(*model.nearest(t, w, skip=i)))
-        model.knots = _monotone(np.array(own), model.labels)
+        model.knots = _monotone(_votes_on_each_other(docs.sparkSession, model), model.labels)
     return model
 
 
+def _votes_on_each_other(spark: SparkSession, model: Model) -> np.ndarray:
+    """The vote on each example by the others; one number an example comes back."""
+    shared = spark.sparkContext.broadcast(model)
+    n = len(model.labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            own = [model.vote(*model.nearest(*(x[model.ptr[i] : model.ptr[i + 1]] for x in (model.term, model.weight)), skip=i)) for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], names=["id", "vote"])
+
+    out = np.zeros(n)
+    for i, vote in spark.range(0, n, 1, max(1, min(64, n // 256))).mapInArrow(run, "id long, vote double").collect():
+        out[i] = vote
+    return out
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``_row`` (struct of the document's columns, or those of ``keep``), ``_score`` in [0, 1] and ``_evidence`` (example ids).
 

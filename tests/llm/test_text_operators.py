@@ -271,18 +271,18 @@ def test_added_spans():
         got = set(pii.added_spans(text, base, field))
         want = {(lo, k, hi) for lo, hi, k in gold}
         hit, miss, wrong = hit + len(got & want), miss + len(want - got), wrong + len(got - want)
-    assert hit / (hit + miss) > 0.6 and hit / (hit + wrong) > 0.8
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + wrong) > 0.8
 
 
 def test_added_spans_of_each_kind():
     field = pii.trained()
-    hit, all_of = [0] * 4, [0] * 4
+    hit, all_of = [0] * len(pii.KINDS), [0] * len(pii.KINDS)
     for text, gold in pii.made_examples(300, seed=5):
         got = set(pii.added_spans(text, pii.base_spans(text), field))
         for lo, hi, k in gold:
             all_of[k] += 1
             hit[k] += (lo, k, hi) in got
-    assert all(h / n > 0.6 for h, n in zip(hit, all_of, strict=True)), (hit, all_of)
+    assert all(h / n >= 0.9 for h, n in zip(hit, all_of, strict=True)), (hit, all_of)
 
 
 @pytest.mark.parametrize(
@@ -314,10 +314,66 @@ def test_field_sums_agree_with_enumeration():
     assert abs(got - max(all_of(len(pieces)))) < 1e-9
 
 
-def test_pii_report(hard):
+#: Texts written by hand, not by the generator that the field learns from.
+HAND = [
+    ("Reach Maria under «maria.lopez [at] uni-graz [dot] at» until May.", [("email", "maria.lopez [at] uni-graz [dot] at")]),
+    ("Write to kim(at)example(dot)org, not to the old box.", [("email", "kim(at)example(dot)org")]),
+    ("My mail: bob.smith at gmail dot com (private).", [("email", "bob.smith at gmail dot com")]),
+    ("Beacon went to 203[.]0[.]113[.]77 twice.", [("ip", "203[.]0[.]113[.]77")]),
+    ("blocklist: 198(.)51(.)100(.)23; reason: scans", [("ip", "198(.)51(.)100(.)23")]),
+    ("Call (212) 555-0187 after six.", [("phone", "(212) 555-0187")]),
+    ("Fax 415-555-0132 or post.", [("phone", "415-555-0132")]),
+    ("Büro 0049 171 5550123, nur vormittags", [("phone", "0049 171 5550123")]),
+    ("paid with 4111/1111/1111/1111 on Monday", [("card", "4111/1111/1111/1111")]),
+    ("visa 5500.0000.0000.0004 expired", [("card", "5500.0000.0000.0004")]),
+    ('export API_KEY="Zx81Kd02MqPl77TtBv55"', [("secret", "Zx81Kd02MqPl77TtBv55")]),
+    ("token = '9f86d081884c7d659a2feaa0c55ad015a3bf4f1b'", [("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b")]),
+    ("password: hunter2hunter22", [("secret", "hunter2hunter22")]),
+    ('"secret": "q8w7e6r5t4y3u2i1"', [("secret", "q8w7e6r5t4y3u2i1")]),
+    ("use ghp_16C7e42F292c6912E7710c838347Ae178B4a as access key", [("secret", "ghp_16C7e42F292c6912E7710c838347Ae178B4a")]),
+    ("bearer: eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", [("secret", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9")]),
+    ("AWS secret is wJalrXUtnFEMI0K7MDENG0bPxRfiCYEX", [("secret", "wJalrXUtnFEMI0K7MDENG0bPxRfiCYEX")]),
+    ("TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"!! TIINST!!", [("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")]),
+    ("The meeting at the dot of noon lasted 45 minutes.", []),
+    ("Version 10.4.2 replaces 9.8.7 since 2021-03-04.", []),
+    ("commit 3b18e512dba79e4c8300dd08aeb37f8e728b8dad fixes it", []),
+    ("Order 9807915762804490 of 12 items, page 3.", []),
+    ("Licensed under CC BY-NC 4.0 and Apache License, Version 2.0.", []),
+    ("The file report-2020-final.html has 1,234.56 rows.", []),
+    ("between 1990-2001 and 10:45:22 the token was lost", []),
+    ("ISBN 978-3-16-148410-0 costs 19.99", []),
+]
+
+
+def test_added_spans_in_texts_written_by_hand():
+    field = pii.trained()
+    hit = all_of = wrong = 0
+    for text, gold in HAND:
+        got = {(pii.KINDS[k], text[lo:hi]) for lo, k, hi in pii.added_spans(text, pii.base_spans(text), field)}
+        hit, all_of, wrong = hit + len(got & set(gold)), all_of + len(gold), wrong + len(got - set(gold))
+    assert hit >= 0.9 * all_of and wrong <= 1, (hit, all_of, wrong)
+
+
+def test_pii_report(hard, spark, data):
+    """Every column against the fixed patterns' plain version and the field's spans; all assigned tokens are found."""
     rows = pii.report(hard).collect()
     assert len(rows) == hard.count()
-    assert all(r.base_sha256 == sha("") for r in rows if r.doc_id in (0, 1))
+    assert all(r.base_sha256 == sha("") and r.spans == "" for r in rows if r.doc_id in (0, 1))
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    more = spark.createDataFrame([(10**6 + i, t) for i, (t, _) in enumerate(HAND)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    field, tokens = pii.trained(), 0
+    for r in pii.report(both).collect():
+        base = brute_spans(texts[r.doc_id])
+        every = sorted([*base, *pii.added_spans(texts[r.doc_id], base, field)])
+        shown = [",".join(f"{pii.KINDS[k]}:{lo}:{hi}" for lo, k, hi in x) for x in (base, every)]
+        assert (sha(shown[0]), shown[1], len(every)) == (r.base_sha256, r.spans, r.n_spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        for m in re.finditer(r"(?i)token = [\"']([0-9a-f]+)[\"']", texts[r.doc_id]):
+            tokens += 1
+            assert f"secret:{m.start(1)}:{m.end(1)}" in r.spans
+    assert tokens > 0
 
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op3_simhash", "op7_bpe", "op8_licenses", "op9_pii"])
