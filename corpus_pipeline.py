@@ -18,7 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half.
+
+    Null and empty texts have the share of toxic ones among examples without terms, and stay where that is below one half.
+    Repeated rows share a score. An empty table stays empty; without labels every score is 0 and all documents stay.
+    """
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("_score < 0.5").select("_row.*")
 
@@ -28,11 +32,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document of boilerplate alone stays, with an empty text.
     """
-    done = linedup.dedup_lines(docs).select("_row.*", "_kept")
-    changed = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))
-    return done.withColumns(changed).select(*docs.columns)
+    same = F.col("_kept").eqNullSafe(F.col("_row.text"))
+    changed = {"text": F.col("_kept"), "n_chars": F.when(same, F.col("_row.n_chars")).otherwise(F.length("_kept").cast("long"))}
+    # columns come from the struct by name, so that none of the documents' own clashes with the operator's
+    return linedup.dedup_lines(docs).select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = simhash.with_components(own)
     order = F.struct((F.col("_row.doc_id") == NO_ID).alias("last"), F.col("_row.doc_id").alias("_id"), F.col("_row.t").alias("_t"))
     rows = groups.select("_root", order.alias("o")).groupBy("_root", "o").agg(F.count("*").alias("n"))
-    least = rows.groupBy("_root").agg(F.min("o").alias("least"))
-    fate = stash(rows.join(least, "_root").select("o._id", "o._t", (F.col("o") == F.col("least")).alias("stays"), "n"))
+    # the least of a component is marked by a join on both, so that a component of any size spreads over all tasks
+    least = rows.groupBy("_root").agg(F.min("o").alias("o")).withColumn("least", F.lit(True))
+    fate = stash(rows.join(least, ["_root", "o"], "left").select("o._id", "o._t", F.coalesce("least", F.lit(False)).alias("stays"), "n"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *doc_key())
     gone = fate.where("not stays or n > 1").select("_id", "_t")
     kept = named.join(bounded(gone), ["_id", "_t"], "left_anti").select("_row")
@@ -60,13 +64,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is benchmark text."""
+    """Documents of which less than a twentieth of the words is benchmark text.
+
+    Null and empty texts have no words and stay; repeated rows share their fate; an empty benchmark drops nothing.
+    """
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated()).select("_row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents left."""
+    """Token counts and digests of the documents left: one row each, repeated ones too, with no tokens for null and empty texts."""
     return bpe.report(docs)
 
 
