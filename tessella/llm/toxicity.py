@@ -16,9 +16,10 @@ from .decontaminate import TABLE
 
 #: Labelled rows that the examples are drawn from, at most: those of least hash.
 MAX_EXAMPLES = 20_000
-#: Terms of the vectors: those that tell the labels of the examples apart at the 1 % level (chi-square
-#: with one degree of freedom), in so many examples at least. There is no cap on their number.
-MIN_CHI2, MIN_SUPPORT = 6.635, 4
+#: Terms of the vectors: those that tell the labels of the examples apart, for either label, in so many
+#: examples at least. The chi-square (one degree of freedom) is that of one error in twenty over a million
+#: terms tried. There is no cap on their number.
+MIN_CHI2, MIN_SUPPORT = 30.0, 4
 #: Examples in a block of the index.
 BLOCK = 64
 #: Neighbours that vote.

@@ -29,7 +29,7 @@ def plain_scores(rows, labels):
     for t in sorted({t for _, c, _ in own for t in c}):
         a, b = (sum(t in c and y == k for _, c, y in own) for k in (1, 0))
         c, d = n1 - a, n - n1 - b
-        if a + b >= 4 and n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * max(n1, 1) * max(n - n1, 1), 1) >= 6.635:
+        if a + b >= 4 and n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * max(n1, 1) * max(n - n1, 1), 1) >= 30:
             terms.append(t)
     every = [counts(t) for _, t in rows]
     idf = {t: math.log((1 + len(rows)) / (1 + sum(t in c for c in every))) + 1 for t in terms}
