@@ -80,17 +80,8 @@ def _hypotheses(sample: pd.DataFrame, kind: str, n: int, seed: int) -> list[list
     return out
 
 
-def ransac(pairs: DataFrame, kind: str = "affine", threshold: float = 8.0, iterations: int = 500, seed: int = 7, sample_size: int = 2000) -> tuple[list[list[float]], DataFrame]:
-    """Robust fit: hypotheses from a hash sample of bounded size, scored over all pairs in one pass.
-
-    Returns the matrix, refitted on the inliers, and the pairs with ``error`` and ``inlier``. Each
-    task counts the inliers of every hypothesis over its rows; counts are then summed.
-    """
-    need = 3 if kind == "affine" else 4
-    sample = pairs.select("pid", "sx", "sy", "dx", "dy").orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(sample_size).toPandas().sort_values("pid")
-    if len(sample) < need:
-        raise ValueError(f"{kind} needs at least {need} points")
-    models = _hypotheses(sample, kind, iterations, seed)
+def _inliers(pairs: DataFrame, models: list, threshold: float) -> tuple[int, int]:
+    """(inliers, place) of the best of some models; each task counts for all of them over its rows."""
     m = np.array([np.array(x if len(x) == 3 else [*x, [0, 0, 1]]) for x in models])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,17 +97,61 @@ def ransac(pairs: DataFrame, kind: str = "affine", threshold: float = 8.0, itera
         yield pd.DataFrame({"h": np.arange(len(m)), "n": total})
 
     counts = pairs.select("sx", "sy", "dx", "dy").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    best = models[counts.orderBy(F.desc("n"), "h").first().h]
+    best = counts.orderBy(F.desc("n"), "h").first()
+    return best.n, best.h
+
+
+def ransac(
+    pairs: DataFrame, kind: str = "affine", threshold: float = 8.0, iterations: int = 10_000, confidence: float = 0.995, seed: int = 7, sample_size: int = 2000, batch: int = 500
+) -> tuple[list[list[float]], DataFrame]:
+    """Robust fit: hypotheses from a hash sample of bounded size, scored over all pairs, a batch in a pass.
+
+    Returns the matrix, refitted on all inliers, and the pairs with ``error`` and ``inlier``. Batches
+    go on up to ``iterations`` hypotheses, or until one of inliers alone has been drawn with
+    ``confidence``, by the share of inliers of the best.
+    """
+    need = 3 if kind == "affine" else 4
+    sample = pairs.select("pid", "sx", "sy", "dx", "dy").orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(sample_size).toPandas().sort_values("pid")
+    if len(sample) < need:
+        raise ValueError(f"{kind} needs at least {need} points")
+    total = pairs.count()
+    best, most, done = None, -1, 0
+    while done < iterations:
+        models = _hypotheses(sample, kind, min(batch, iterations - done), seed + done)
+        done += batch
+        if models:
+            n, h = _inliers(pairs, models, threshold)
+            if n > most:
+                best, most = models[h], n
+            clean = min(max(most / total, 0.0), 1.0) ** need
+            if clean >= 1 or (clean > 0 and done >= np.log(1 - confidence) / np.log(1 - clean)):
+                break
+    if best is None:
+        raise ValueError("all points lie on a line")
     inside = residuals(pairs, best, kind).where(F.col("error") <= threshold)
-    if kind == "affine":
-        best = affine_fit(inside)
-    else:
-        few = inside.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(20_000).toPandas()
-        best = homography_fit(few[["sx", "sy"]].to_numpy(float), few[["dx", "dy"]].to_numpy(float)).tolist()
+    best = affine_fit(inside) if kind == "affine" else homography_over(inside)
     scored = residuals(pairs, best, kind)
     return best, scored.withColumn("inlier", F.col("error") <= threshold)
 
 
+def homography_over(pairs: DataFrame) -> list[list[float]]:
+    """Direct linear transform over any number of pairs, from the sums of its normal equations."""
+    m = pairs.agg(*[F.avg(c).alias(c) for c in ("sx", "sy", "dx", "dy")]).first()
+    gap = [F.avg(F.hypot(F.col(f"{p}x") - lit(m[f"{p}x"]), F.col(f"{p}y") - lit(m[f"{p}y"]))).alias(p) for p in "sd"]
+    size = pairs.agg(*gap).first()
+    k = {p: np.sqrt(2) / max(1e-12, size[p]) for p in "sd"}
+    x, y, u, v = ((F.col(c) - lit(m[c])) * lit(float(k[c[0]])) for c in ("sx", "sy", "dx", "dy"))
+    zero, one = lit(0.0), lit(1.0)
+    rows = ([x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v])
+    sums = [F.sum(sum((r[i] * r[j] for r in rows[1:]), rows[0][i] * rows[0][j])).alias(f"s{i}{j}") for i in range(9) for j in range(i, 9)]
+    s = pairs.agg(*sums).first()
+    a = np.array([[s[f"s{min(i, j)}{max(i, j)}"] for j in range(9)] for i in range(9)])
+    h = np.linalg.eigh(a)[1][:, 0].reshape(3, 3)
+    to, back = (np.array([[k[p], 0, -k[p] * m[f"{p}x"]], [0, k[p], -k[p] * m[f"{p}y"]], [0, 0, 1]]) for p in "sd")
+    h = np.linalg.inv(back) @ h @ to
+    return (h / h[2, 2]).tolist()
+
+
 def spline_fit(s: np.ndarray, d: np.ndarray, reg: float = 1e-2) -> dict[str, list]:
     """Thin-plate spline: solve [[K + reg I, P], [P', 0]] for the weights and the affine part."""
     n = len(s)
@@ -128,9 +163,21 @@ def spline_fit(s: np.ndarray, d: np.ndarray, reg: float = 1e-2) -> dict[str, lis
     return {"ctrl": s.tolist(), "w": w[:n].tolist(), "a": w[n:].tolist()}
 
 
-def spline_from(pairs: DataFrame, reg: float = 1e-2, max_points: int = 2000) -> dict[str, list]:
-    """Spline over at most ``max_points`` control pairs (a dense solve), by hash order."""
-    few = pairs.orderBy(F.xxhash64("pid"), "pid").limit(max_points).toPandas().sort_values("pid")
+#: Control pairs of a spline, at most: its fit is a dense solve.
+MAX_CONTROLS = 2000
+
+
+def control_pairs(pairs: DataFrame, cell: float) -> DataFrame:
+    """The mean pair of each grid cell: as many control pairs as the image has cells, from any number of pairs."""
+    grid = {"gx": F.floor(F.col("sx") / lit(cell)), "gy": F.floor(F.col("sy") / lit(cell))}
+    return pairs.withColumns(grid).groupBy("gx", "gy").agg(*[F.avg(c).alias(c) for c in ("sx", "sy", "dx", "dy")])
+
+
+def spline_from(pairs: DataFrame, reg: float = 1e-2) -> dict[str, list]:
+    """Spline over all pairs, in order of place. More than ``MAX_CONTROLS`` are an error; see ``control_pairs``."""
+    few = pairs.select("sx", "sy", "dx", "dy").limit(MAX_CONTROLS + 1).toPandas().sort_values(["sx", "sy"], kind="stable")
+    if len(few) > MAX_CONTROLS:
+        raise ValueError(f"a spline has at most {MAX_CONTROLS} control pairs; thin them out by control_pairs")
     return spline_fit(few[["sx", "sy"]].to_numpy(float), few[["dx", "dy"]].to_numpy(float), reg)
 
 

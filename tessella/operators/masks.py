@@ -101,7 +101,7 @@ def label_image(fg: np.ndarray, connectivity: int = 8) -> np.ndarray:
     return order.astype(np.int32)[lab]
 
 
-def chamfer(fg: np.ndarray, rounds: int | None = None) -> np.ndarray:
+def chamfer(fg: np.ndarray) -> np.ndarray:
     """Euclidean distance to the nearest background pixel (exact), by columns and then rows."""
     h, w = fg.shape
     big = float((h + w) ** 2)
@@ -116,8 +116,14 @@ def chamfer(fg: np.ndarray, rounds: int | None = None) -> np.ndarray:
         run = np.where(d[y] == 0, 0, run + 1)
         col[y] = np.minimum(col[y], run)
     sq = np.minimum(col, h + w) ** 2
-    x = np.arange(w)
-    return np.sqrt((sq[:, None, :] + (x[:, None] - x[None, :]) ** 2).min(2))
+    # along the rows, columns further away are looked at only while they can be nearer
+    best = sq.copy()
+    for dx in range(1, w):
+        if dx * dx >= best.max():
+            break
+        np.minimum(best[:, dx:], sq[:, :-dx] + dx * dx, out=best[:, dx:])
+        np.minimum(best[:, :-dx], sq[:, dx:] + dx * dx, out=best[:, :-dx])
+    return np.sqrt(best)
 
 
 def fill_holes_image(fg: np.ndarray, max_share: float = 0.005, max_fg_share: float = 0.05, max_radius: float = 6.0) -> np.ndarray:
@@ -125,15 +131,26 @@ def fill_holes_image(fg: np.ndarray, max_share: float = 0.005, max_fg_share: flo
     lab = label_image(~fg, 4)
     limit = max(max_share * fg.size, max_fg_share * fg.sum())
     out = fg.copy()
-    for k in range(1, lab.max() + 1):
-        part = lab == k
-        if part[0].any() or part[-1].any() or part[:, 0].any() or part[:, -1].any():
+    for k, (rows, cols) in enumerate(label_boxes(lab), 1):
+        if rows.start == 0 or cols.start == 0 or rows.stop == fg.shape[0] or cols.stop == fg.shape[1]:
             continue
-        if part.sum() <= limit and chamfer(part).max() <= max_radius:
-            out |= part
+        part = lab[rows, cols] == k
+        if part.sum() <= limit and chamfer(np.pad(part, 1)).max() <= max_radius:
+            out[rows, cols] |= part
     return out
 
 
+def label_boxes(lab: np.ndarray) -> list[tuple[slice, slice]]:
+    """The box of each label from 1 on."""
+    y, x = np.nonzero(lab)
+    n = int(lab.max(initial=0)) + 1
+    lo, hi = np.full((2, n), max(lab.shape)), np.zeros((2, n), dtype=int)
+    for i, c in enumerate((y, x)):
+        np.minimum.at(lo[i], lab[y, x], c)
+        np.maximum.at(hi[i], lab[y, x], c + 1)
+    return [(slice(lo[0, k], hi[0, k]), slice(lo[1, k], hi[1, k])) for k in range(1, n)]
+
+
 def small_removed(fg: np.ndarray, min_area: int, connectivity: int = 8) -> np.ndarray:
     lab = label_image(fg, connectivity)
     area = np.bincount(lab.reshape(-1))
@@ -212,12 +229,13 @@ def large_components(labels: DataFrame, min_area: int, key: Sequence[str] = KEY)
     return labels.join(big.select(*key, "label"), [*key, "label"], "left_semi")
 
 
-def row_runs(mask: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Foreground runs of rows as components: label is the run's first pixel, counted from 1."""
+def row_runs(mask: DataFrame, width: int, key: Sequence[str] = KEY) -> DataFrame:
+    """Foreground runs of rows as components: label is the run's first pixel, counted from 1 in rows of ``width``."""
     row = Window.partitionBy(*key, "y").orderBy("x")
     first = F.col("x") - F.row_number().over(row)
     runs = mask.where("fg = 1").withColumn("_g", first)
-    return runs.withColumn("label", (F.col("y") * 1000 + F.min("x").over(Window.partitionBy(*key, "y", "_g")) + 1).cast("int")).drop("_g")
+    start = F.min("x").over(Window.partitionBy(*key, "y", "_g"))
+    return runs.withColumn("label", F.col("y").cast("long") * width + start + 1).drop("_g")
 
 
 def isolated(stats: DataFrame, h: int, w: int, min_area: int = 10, k: float = 1.5, key: Sequence[str] = KEY) -> DataFrame:
@@ -279,24 +297,30 @@ def mask_scores(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
 def clusters(stats: DataFrame, eps: float = 50.0, key: Sequence[str] = KEY, rounds: int = 40) -> DataFrame:
     """Component clusters: centroids within eps are linked, links are transitive.
 
-    Neighbours come from a grid of width eps; the smallest label then spreads, with pointer
-    jumping, until nothing changes. Each round is written, so lineage stays short.
+    Neighbours come from a grid of width eps; clusters then join the lowest one that they touch,
+    with pointer jumping, until nothing changes. Each round is written, so lineage stays short.
     """
     own = stats.select(*key, "label", "cx", "cy", "area")
     pairs = close_pairs(own.withColumnsRenamed({"cx": "x", "cy": "y", "label": "pid"}).select(*key, "pid", "x", "y"), eps, key)
     both = pairs.select(*key, F.col("i").alias("u"), F.col("j").alias("v"))
-    both = both.unionByName(both.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))).persist()
+    both = both.unionByName(both.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
+    both = written(both)
     names = own.select(*key, "label", F.col("label").alias("cluster"))
     for _ in range(rounds):
         near = both.join(names.select(*key, F.col("label").alias("v"), "cluster"), [*key, "v"]).groupBy(*key, F.col("u").alias("label")).agg(F.min("cluster").alias("low"))
-        step = names.join(near, [*key, "label"], "left").select(*key, "label", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), (F.coalesce("low", "cluster") < F.col("cluster")).alias("moved"))
-        jump = step.select(*key, F.col("label").alias("cluster"), F.col("cluster").alias("next"))
-        step = step.join(jump, [*key, "cluster"]).select(*key, "label", F.col("next").alias("cluster"), "moved")
+        step = names.join(near, [*key, "label"], "left").withColumn("low", F.coalesce("low", "cluster"))
+        # a whole cluster moves to the lowest that any of its members touches, and on to where that one moves
+        hook = written(step.groupBy(*key, "cluster").agg(F.min("low").alias("low")).select(*key, "cluster", F.least("cluster", "low").alias("next")))
+        on = hook.select(*key, F.col("cluster").alias("next"), F.col("next").alias("after"))
+        hook = hook.join(on, [*key, "next"]).select(*key, "cluster", "after")
+        step = names.join(hook, [*key, "cluster"]).select(*key, "label", F.col("after").alias("cluster"), (F.col("after") < F.col("cluster")).alias("moved"))
         step = written(step)
         moved = step.where("moved").limit(1).count()
         names = step.drop("moved")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"clusters aren't settled after {rounds} rounds")
     return own.join(names, [*key, "label"])
 
 

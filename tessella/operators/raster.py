@@ -167,7 +167,7 @@ def decimate(pixels: DataFrame, ds: int, h: int, w: int) -> DataFrame:
     )
     dst = dst.withColumns({"y": F.floor(F.col("yd") * F.lit(h) / hd).cast("int"), "x": F.floor(F.col("xd") * F.lit(w) / wd).cast("int")})
     rest = [c for c in pixels.columns if c not in ("y", "x")]
-    return pixels.join(F.broadcast(dst), ["y", "x"]).select(*rest, F.col("yd").alias("y"), F.col("xd").alias("x"))
+    return pixels.join(dst, ["y", "x"]).select(*rest, F.col("yd").alias("y"), F.col("xd").alias("x"))
 
 
 def upsample(pixels: DataFrame, k: int) -> DataFrame:

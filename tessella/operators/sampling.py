@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lit
@@ -14,6 +14,20 @@ from ..lineage import written
 from .masks import close_pairs
 
 
+#: Points whose pairs are all measured, at most.
+MANY = 20_000
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Numbers rows from 0 in order: each range of the order counts its own rows, from where the ranges before it end."""
+    keys = {f"_k{i}": c for i, c in enumerate(order)}
+    parts = written(df.withColumns(keys).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", first.alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1
+    return parts.join(F.broadcast(before), "_p").withColumn(name, own + F.col("_before")).drop("_p", "_before", *keys)
+
+
 def valid_coords(mask: DataFrame, cap: int | None = None, seed: int = 0) -> DataFrame:
     """Available pixels; with a cap, that many of them by hash order, the same each time."""
     free = mask.where("fg = 1").select("y", "x")
@@ -84,12 +98,12 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
     Points meet in grid cells only. A point enters when no nearer one of lower order is undecided or
     in; rounds go on until all are decided, so the result doesn't depend on partitions.
     """
-    own = points.withColumn("rank", F.xxhash64("pid", F.lit(seed))).persist()
+    own = written(points.withColumn("rank", F.xxhash64("pid", F.lit(seed))))
     pairs = close_pairs(own.select("pid", "x", "y"), min_dist).where(F.col("d2") < min_dist * min_dist)
     ranks = own.select("pid", "rank")
     pairs = pairs.join(ranks.withColumnsRenamed({"pid": "i", "rank": "ri"}), "i").join(ranks.withColumnsRenamed({"pid": "j", "rank": "rj"}), "j")
     first = (F.col("ri") < F.col("rj")) | ((F.col("ri") == F.col("rj")) & (F.col("i") < F.col("j")))
-    before = pairs.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")).persist()
+    before = written(pairs.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")))
     state = own.select("pid", F.lit(0).alias("s"))  # 0 undecided, 1 in, 2 out
     for _ in range(200):
         above = before.join(state.select(F.col("pid").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("pid")).agg(
@@ -102,6 +116,8 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
         state = written(step)
         if not state.where("s = 0").limit(1).count():
             break
+    else:
+        raise RuntimeError("points are still undecided after 200 rounds")
     kept = own.join(state.where("s = 1").select("pid"), "pid", "left_semi")
     return kept.orderBy("rank", "pid").limit(n).drop("rank") if n is not None else kept.drop("rank")
 
@@ -146,12 +162,13 @@ def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20
     """Move points that are too close to others to free coordinates, a round at a time.
 
     In each round every point that is the later one of a close pair takes the coordinate of its turn in hash order.
+    After ``rounds`` rounds the points stay where they are, as a crowded image may have no room for all.
     """
     n = coords.count()
     if not n:
         return points
-    turn = Window.orderBy(F.xxhash64("y", "x", F.lit(seed)), "y", "x")
-    spots = coords.select(F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"), (F.row_number().over(turn) - 1).alias("spot")).persist()
+    spots = numbered(coords.select("x", "y"), [F.xxhash64("y", "x", F.lit(seed)), F.col("y"), F.col("x")], "spot")
+    spots = written(spots.select(F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny"), "spot"))
     now = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     for i in range(rounds):
         late = written(close_pairs(now, min_sep).select(F.col("j").alias("pid")).distinct())
@@ -165,6 +182,8 @@ def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20
 
 def dispersion(points: DataFrame) -> DataFrame:
     """Mean, population deviation and maximum of the pairwise distances of a small point set."""
+    if (n := points.count()) > MANY:
+        raise ValueError(f"{n} points have too many pairs; sample at most {MANY} of them first")
     a = points.select(F.col("pid").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = F.broadcast(points.select(F.col("pid").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by")))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
@@ -172,9 +191,9 @@ def dispersion(points: DataFrame) -> DataFrame:
 
 
 def in_view(points: DataFrame, w: float, h: float, cap: int) -> DataFrame:
-    """Points inside an image; of more than ``cap``, every k-th in order of id (global order, so a display path only)."""
+    """Points inside an image; of more than ``cap``, every k-th in order of id."""
     inside = points.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
     step = max(1, -(-inside.count() // cap))
     if step == 1:
         return inside
-    return inside.withColumn("_r", F.row_number().over(Window.orderBy("pid")) - 1).where(F.col("_r") % step == 0).drop("_r")
+    return numbered(inside, [F.col("pid")], "_r").where(F.col("_r") % step == 0).drop("_r")

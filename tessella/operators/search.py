@@ -31,7 +31,7 @@ def warp(mask: DataFrame, grid: DataFrame, h: int, w: int, key: Sequence[str] =
         "scale", "tx", "ty", "yd", "xd", warp_source(F.col("yd"), h, F.col("scale"), F.col("ty")).alias("y"), warp_source(F.col("xd"), w, F.col("scale"), F.col("tx")).alias("x")
     ).where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
     fg = mask.where("fg = 1").select(*key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    return fg.join(F.broadcast(plan), ["y", "x"]).select(*key, "scale", "tx", "ty", F.col("yd").alias("y"), F.col("xd").alias("x"))
+    return fg.join(plan, ["y", "x"]).select(*key, "scale", "tx", "ty", F.col("yd").alias("y"), F.col("xd").alias("x"))
 
 
 def grid_scores(a: DataFrame, b: DataFrame, grid: DataFrame, h: int, w: int, key: Sequence[str] = PAIR, clip_first: bool = True) -> DataFrame:

@@ -32,9 +32,9 @@ VIEWS = {
         "SELECT p_partkey AS cell_id, p_retailprice * 3 + p_size AS x_centroid, "
         "CAST(p_size * 17 + p_partkey % 97 AS DOUBLE) AS y_centroid, p_brand AS kind FROM part"
     ),
-    "pts": "SELECT cell_id AS pid, round(x_centroid, 3) AS x, y_centroid AS y FROM cells WHERE cell_id <= 2000",
-    "few": "SELECT pid, x, y FROM pts WHERE pid <= 400",
-    "centres": "SELECT pid AS cid, x AS cx, y AS cy FROM pts WHERE pid <= 8",
+    "pts": "SELECT cell_id AS pid, round(x_centroid, 3) AS x, y_centroid AS y FROM cells",
+    "spots": "SELECT tile_id AS pid, x0 + w / 2 AS x, y0 + h / 2 AS y FROM tiles",
+    "centres": "SELECT CAST(substr(kind, 7) AS BIGINT) AS cid, round(avg(round(x_centroid, 3)), 3) AS cx, round(avg(y_centroid), 3) AS cy FROM cells GROUP BY kind",
     "tiles": (
         "SELECT s_suppkey AS tile_id, CAST((s_suppkey * 37) % 500 - 20 AS DOUBLE) AS x0, "
         "CAST((s_suppkey * 53) % 400 - 20 AS DOUBLE) AS y0, CAST(20 + s_suppkey % 23 AS DOUBLE) AS w, "
@@ -46,7 +46,7 @@ VIEWS = {
         "1.02::DOUBLE * (o_orderkey % 211 * 10) - 0.03::DOUBLE * (o_custkey % 173 * 10) + 40 + (o_orderkey % 7 - 3) "
         "+ CASE WHEN o_orderkey % 11 = 0 THEN 500 ELSE 0 END AS dx, "
         "0.02::DOUBLE * (o_orderkey % 211 * 10) + 0.98::DOUBLE * (o_custkey % 173 * 10) - 25 + (o_orderkey % 5 - 2) AS dy "
-        "FROM orders WHERE o_orderkey < 600"
+        "FROM orders"
     ),
     "levels": (
         "SELECT n_regionkey AS image, level, CAST(16000 // (1 << level) AS BIGINT) AS h, CAST(12000 // (1 << level) AS BIGINT) AS w "
@@ -67,7 +67,7 @@ VIEWS = {
     ),
     "names": "SELECT vec_id, 'tile_' || lpad(CAST(vec_id AS VARCHAR), 3, '0') || CASE WHEN vec_id % 3 = 0 THEN '_he.png' ELSE '_dapi_mask.png' END AS path FROM embeddings",
     "runs": (
-        "SELECT *, y * 1000 + min(x) OVER (PARTITION BY tile_id, y, x - rn) + 1 AS label "
+        "SELECT *, y * 8 + min(x) OVER (PARTITION BY tile_id, y, x - rn) + 1 AS label "
         "FROM (SELECT tile_id, y, x, v, fg, row_number() OVER (PARTITION BY tile_id, y ORDER BY x) AS rn FROM pm WHERE fg = 1)"
     ),
     "comps": (
@@ -145,15 +145,18 @@ class Source:
 
     @property
     def pts(self) -> DataFrame:
-        return self.cells.where("cell_id <= 2000").select(F.col("cell_id").alias("pid"), F.round("x_centroid", 3).alias("x"), F.col("y_centroid").alias("y"))
+        return self.cells.select(F.col("cell_id").alias("pid"), F.round("x_centroid", 3).alias("x"), F.col("y_centroid").alias("y"))
 
     @property
-    def few(self) -> DataFrame:
-        return self.pts.where("pid <= 400")
+    def spots(self) -> DataFrame:
+        """The middles of the tiles: few points, for operators on all pairs."""
+        return self.tiles.select(F.col("tile_id").alias("pid"), (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
 
     @property
     def centres(self) -> DataFrame:
-        return self.pts.where("pid <= 8").select(F.col("pid").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+        """The mean place of each kind of cell: as many centres as there are kinds."""
+        mean = [F.round(F.avg(c), 3).alias(n) for c, n in ((F.round("x_centroid", 3), "cx"), (F.col("y_centroid"), "cy"))]
+        return self.cells.groupBy("kind").agg(*mean).select(F.substring("kind", 7, 9).cast("long").alias("cid"), "cx", "cy")
 
     @property
     def tiles(self) -> DataFrame:
@@ -168,7 +171,7 @@ class Source:
         o, c = F.col("o_orderkey"), F.col("o_custkey")
         x, y = (o % 211 * 10).cast("double"), (c % 173 * 10).cast("double")
         (a, b, e), (d, f, g) = ANCHOR_MAP
-        return self.table("orders").where(o < 600).select(
+        return self.table("orders").select(
             o.alias("pid"), (c % 36).alias("tile_id"), o.alias("nucleus"), x.alias("sx"), y.alias("sy"),
             (F.lit(a) * x + F.lit(b) * y + F.lit(e) + (o % 7 - 3) + F.when(o % 11 == 0, 500).otherwise(0)).alias("dx"),
             (F.lit(d) * x + F.lit(f) * y + F.lit(g) + (o % 5 - 2)).alias("dy"),
@@ -208,7 +211,7 @@ class Source:
 
     @property
     def runs(self) -> DataFrame:
-        return row_runs(self.pm)
+        return row_runs(self.pm, SIDE)
 
     @property
     def comps(self) -> DataFrame:

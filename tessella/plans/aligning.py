@@ -10,7 +10,7 @@ from ..functions.columns import lit
 from ..operators import fitting, geometry, manual, masks, raster, sampling, search
 from ..streaming import events as streams
 from .adapters import ANCHOR_MAP, META, SIDE
-from .projections import _WARP, stain_normalise
+from .projections import _SPLINE, _WARP, _spline_sql, stain_normalise
 from .registry import query
 from .selections import _CLOSE, _LLOYD, PAIR
 
@@ -22,13 +22,12 @@ def _(s):
 
 @query("it02_poisson_disk", "pid:l x:d y:d")
 def _(s):
-    return sampling.poisson_disk(s.few, 60)
+    return sampling.poisson_disk(s.pts, 60)
 
 
 @query("it03_repel", "pid:l x:d y:d")
 def _(s):
-    spots = s.pts.where("pid > 120").select("x", "y")
-    return sampling.repel(s.few.where("pid <= 120"), spots, 30)
+    return sampling.repel(s.spots, s.pts.select("x", "y"), 12)
 
 
 @query("it04_lloyd_step", "cid:l cx:d cy:d", _LLOYD)
@@ -41,14 +40,15 @@ def _(s):
     return sampling.lloyd(s.pts, s.centres, 10)
 
 
-@query("it05_close_pair_repair", "pid:l", f"SELECT DISTINCT j AS pid FROM ({_CLOSE.format(t='few', r=30)})")
+@query("it05_close_pair_repair", "pid:l", f"SELECT DISTINCT j AS pid FROM ({_CLOSE.format(t='pts', r=30)})")
 def _(s):
-    return masks.close_pairs(s.few, 30).select(F.col("j").alias("pid")).distinct()
+    return masks.close_pairs(s.pts, 30).select(F.col("j").alias("pid")).distinct()
 
 
 @query("it06_sampling", "tile:l x0:d y0:d w:d h:d")
 def _(s):
-    free = masks.available_boundary(s.big.where("y < 200").withColumn("fg", (F.col("v") > 110).cast("int")), 3, 200, 64)
+    h = s.table("embeddings").agg(F.max("vec_id")).first()[0] + 1
+    free = masks.available_boundary(s.big.withColumn("fg", (F.col("v") > 110).cast("int")), 3, h, 64)
     points = free.select((F.col("y") * 64 + F.col("x")).alias("pid"), "x", "y")
     start = sampling.poisson_disk(points, 14, n=20).select(F.col("pid").alias("cid"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"))
     moved = sampling.lloyd(points, start, 5)
@@ -65,7 +65,7 @@ def _(s):
 
 @query("it08_pilot", "step:l pid:l")
 def _(s):
-    return sampling.farthest_points(s.few, 10)
+    return sampling.farthest_points(s.pts, 10)
 
 
 def dark_nuclei_mask(a: np.ndarray, offset: int = 0, share: float = 1e-4, up: int = 2) -> np.ndarray:
@@ -94,33 +94,49 @@ def _(s):
     return s.px.groupBy("tile_id").applyInPandas(run, "tile_id long, y int, x int, v int")
 
 
-def histology_mask(rgb: np.ndarray, threshold: float = 0.6, n: int = 1) -> np.ndarray:
-    """Stain-normalise, grey, smooth, threshold. The threshold mask is returned; no objects are split."""
-    got = stain_normalise(rgb)
-    h = rgb if got is None else got[0]
-    grey = (h @ np.array([0.2125, 0.7154, 0.0721])) / 255
+def grey_filter(a: np.ndarray, radius: int, largest: bool) -> np.ndarray:
+    """Largest or smallest value in the disk around each pixel; beyond the edge nothing counts."""
+    h, w = a.shape
+    far = np.pad(a.astype(float), radius, constant_values=-np.inf if largest else np.inf)
+    steps = range(-radius, radius + 1)
+    near = [far[radius + dy : radius + dy + h, radius + dx : radius + dx + w] for dy in steps for dx in steps if dy * dy + dx * dx <= radius * radius]
+    return (np.max if largest else np.min)(near, axis=0)
 
-    def spread(a, pick):
-        out = a.copy()
-        for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-            p = np.pad(a, 1, mode="edge")
-            out = pick(out, p[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]])
-        return out
 
-    for pick in (np.minimum, np.maximum, np.maximum, np.minimum):
-        for _ in range(n):
-            grey = spread(grey, pick)
-    return masks.small_removed(grey > threshold, 3)
+def opened(a: np.ndarray, radius: int) -> np.ndarray:
+    return grey_filter(grey_filter(a, radius, False), radius, True)
 
 
-@query("it10_histology_mask", "tile_id:l y:l x:l fg:l")
+def closed(a: np.ndarray, radius: int) -> np.ndarray:
+    return grey_filter(grey_filter(a, radius, True), radius, False)
+
+
+def histology_mask(rgb: np.ndarray, threshold: float = 0.6, up: int = 2, n: int = 2, min_object: int = 30, max_hole: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Nuclei of a stained tile, enlarged: the mask of the stain above the threshold, and its objects, split.
+
+    The stain's own image (the tile itself where too few pixels absorb) as grey of 0 to 1 is opened
+    and closed by a disk, thresholded, rid of small objects and holes, and closed by a cross.
+    """
+    big = np.repeat(np.repeat(rgb, up, 0), up, 1)
+    got = stain_normalise(big)
+    grey = (big if got is None else got[1]) @ np.array([0.2125, 0.7154, 0.0721]) / 255
+    mask = closed(opened(grey, n), n) > threshold
+    mask = masks.small_removed(mask, min_object, 4)
+    mask = ~masks.small_removed(~mask, max_hole, 4)
+    mask = closed(mask, 1) > 0
+    return mask, masks.watershed_image(opened(mask, 1) > 0, min_object, dist_share=0.42, peak_dist=6)
+
+
+@query("it10_histology_mask", "tile_id:l y:l x:l fg:l label:l")
 def _(s):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((SIDE, SIDE, 3))
         a[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]]
-        return pdf[["tile_id", "y", "x"]].assign(fg=histology_mask(a)[pdf["y"], pdf["x"]].astype("int32"))
+        mask, label = histology_mask(a)
+        y, x = np.indices(mask.shape).reshape(2, -1)
+        return pd.DataFrame({"tile_id": pdf["tile_id"].iloc[0], "y": y, "x": x, "fg": mask.reshape(-1).astype(int), "label": label.reshape(-1)})
 
-    return s.rgb.groupBy("tile_id").applyInPandas(run, "tile_id long, y int, x int, fg int")
+    return s.rgb.groupBy("tile_id").applyInPandas(run, "tile_id long, y int, x int, fg int, label int")
 
 
 _M = "SELECT c.tile_id, c.y, c.x, {f}(n.v) AS v FROM {t} c JOIN {t} n ON n.tile_id = c.tile_id AND abs(n.y - c.y) + abs(n.x - c.x) <= 1 GROUP BY ALL"
@@ -158,20 +174,18 @@ def _blobs(s, mask):
 
 @query("it15_dot_blobs", "tile_id:l y:l x:l")
 def _(s):
-    few = s.pm.where("tile_id < 40")
-    closed = raster.closing(few.select("tile_id", "y", "x", F.col("fg").alias("v")), raster.disk(1))
+    closed = raster.closing(s.pm.select("tile_id", "y", "x", F.col("fg").alias("v")), raster.disk(1))
     return _blobs(s, closed.withColumnRenamed("v", "fg"))
 
 
 @query("it16_lut_blobs", "tile_id:l y:l x:l")
 def _(s):
-    few = s.rgb.where("tile_id < 40")
-    return _blobs(s, few.withColumn("fg", (raster.grey_u8(F.col("b"), F.col("g"), F.col("r")) > 110).cast("int")))
+    return _blobs(s, s.rgb.withColumn("fg", (raster.grey_u8(F.col("b"), F.col("g"), F.col("r")) > 110).cast("int")))
 
 
 @query("it17_clean_and_cluster", "tile_id:l y:l x:l")
 def _(s):
-    filled = masks.per_image(s.pm.where("tile_id < 40"), lambda a: masks.fill_holes_image(a > 0, 0.1, 0.2), "fg")
+    filled = masks.per_image(s.pm, lambda a: masks.fill_holes_image(a > 0, 0.1, 0.2), "fg")
     opened = raster.opening(filled.select("tile_id", "y", "x", F.col("fg").alias("v")), raster.disk(1))
     return _blobs(s, opened.withColumnRenamed("v", "fg"))
 
@@ -232,19 +246,19 @@ def _(s):
 
 
 @query("it23_tile_pairs", "pair_id:l rank:l a:l b:l u:d v:d", """
-SELECT pair_id, rank, a, b, 7 - (a % 1000 - 1) AS u, b // 1000 / 2 AS v FROM
+SELECT pair_id, rank, a, b, 7 - (a - 1) % 8 AS u, (b - 1) // 8 / 2 AS v FROM
  (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(f1, 9) DESC, a, b) AS rank FROM pairs WHERE least(cov_a, cov_b) >= 0.4) WHERE rank <= 3""")
 def _(s):
     # pair the components of each aligned tile, keep the best, map their places back
     top = masks.top_pairs(masks.overlap_pairs(s.ra, s.rb, 0.4, PAIR), 3, PAIR)
-    return top.withColumns({"u": 7 - (F.col("a") % 1000 - 1), "v": F.floor(F.col("b") / 1000) / 2})
+    return top.withColumns({"u": 7 - (F.col("a") - 1) % SIDE, "v": F.floor((F.col("b") - 1) / SIDE) / 2})
 
 
 @query("it24_anchor_patches", "pid:l px0:l py0:l px1:l py1:l", """
 SELECT pid, greatest(0, cx - 16) AS px0, greatest(0, cy - 16) AS py0, least(2000, cx + 16) AS px1, least(2000, cy + 16) AS py1 FROM
  (SELECT pid, greatest(0, least(1999, CAST(round_even(x0 + sx, 0) AS BIGINT))) AS cx, greatest(0, least(1999, CAST(round_even(y0 + sy, 0) AS BIGINT))) AS cy FROM anchors JOIN tiles USING (tile_id))""")
 def _(s):
-    placed = manual.place_anchors(s.anchors.select("pid", "tile_id", F.col("sx").alias("x"), F.col("sy").alias("y")), F.broadcast(s.tiles))
+    placed = manual.place_anchors(s.anchors.select("pid", "tile_id", F.col("sx").alias("x"), F.col("sy").alias("y")), s.tiles)
     return placed.withColumns(geometry.patch_box(F.col("gx"), F.col("gy"), 32, 2000, 2000))
 
 
@@ -261,7 +275,7 @@ LEFT JOIN runs r1 ON r1.tile_id = t.tile_id AND r1.y = t.y AND r1.x = t.x LEFT J
 LEFT JOIN runs r2 ON r2.tile_id = t.tile_id AND r2.y = t.y + 1 AND r2.x = t.x LEFT JOIN comps c2 ON c2.tile_id = r2.tile_id AND c2.label = r2.label""")
 def _(s):
     t = s.px.select("tile_id").distinct().withColumns({"x": (F.col("tile_id") % 8).cast("int"), "y": F.lit(3)})
-    hit = s.runs.join(s.comps.select("tile_id", "label", "area", "cx", "cy"), ["tile_id", "label"]).select("tile_id", "y", "x", "area", "cx", "cy").persist()
+    hit = s.runs.join(s.comps.select("tile_id", "label", "area", "cx", "cy"), ["tile_id", "label"]).select("tile_id", "y", "x", "area", "cx", "cy")
     near = hit.where("area >= 2").select("tile_id", "y", "x", F.col("cx").alias("c1x"), F.col("cy").alias("c1y"))
     wide = hit.select("tile_id", (F.col("y") - 1).alias("y"), "x", F.col("cx").alias("c2x"), F.col("cy").alias("c2y"))
     both = t.join(near, ["tile_id", "y", "x"], "left").join(wide, ["tile_id", "y", "x"], "left")
@@ -275,7 +289,17 @@ def _fit_rows(s, m, scored):
     return s.spark.createDataFrame(rows, "i int, j int, v double").crossJoin(F.broadcast(n))
 
 
-@query("it27_ransac_affine", "i:l j:l v:d n:l")
+def _lsq_sql(where: str) -> str:
+    """Both rows of the least-squares affine over some anchors, by Cramer's rule, and how many anchors they are."""
+    c = "{k}x * (yy * n - y * y) - xy * ({k}y * n - y * {k}) + x * ({k}y * y - yy * {k})", "xx * ({k}y * n - y * {k}) - {k}x * (xy * n - y * x) + x * (xy * {k} - {k}y * x)", "xx * (yy * {k} - {k}y * y) - xy * (xy * {k} - {k}y * x) + {k}x * (xy * y - yy * x)"
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, ({e.format(k='uv'[i])}) / det AS v, n FROM d" for i in (0, 1) for j, e in enumerate(c))
+    return f"""WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(sx) AS x, sum(sy) AS y, sum(sx * sx) AS xx, sum(sx * sy) AS xy, sum(sy * sy) AS yy,
+ sum(dx) AS u, sum(sx * dx) AS ux, sum(sy * dx) AS uy, sum(dy) AS v, sum(sx * dy) AS vx, sum(sy * dy) AS vy FROM anchors WHERE {where}),
+d AS (SELECT *, xx * (yy * n - y * y) - xy * (xy * n - y * x) + x * (xy * y - yy * x) AS det FROM s) {rows}"""
+
+
+# the anchors' noise is below 4 pixels but for every eleventh, which is 500 off: the inliers are known
+@query("it27_ransac_affine", "i:l j:l v:d n:l", _lsq_sql("pid % 11 <> 0"))
 def _(s):
     return _fit_rows(s, *fitting.ransac(s.anchors, "affine"))
 
@@ -312,24 +336,33 @@ def _(s):
     return s.spark.createDataFrame([tuple(m[0])], "a double, b double, c double")
 
 
-@query("it31_spline_fit", "i:l wx:d wy:d")
+_CONTROLS = "SELECT gx, gy, avg(sx) AS sx, avg(sy) AS sy, avg(dx) AS dx, avg(dy) AS dy FROM (SELECT *, floor(sx / 300) AS gx, floor(sy / 300) AS gy FROM anchors WHERE pid % 11 <> 0) GROUP BY gx, gy"
+
+
+@query("it31_spline_fit", "gx:l gy:l dx:d dy:d", f"SELECT gx, gy, dx, dy FROM ({_CONTROLS})")
 def _(s):
-    m = fitting.spline_from(s.anchors.where("pid % 11 <> 0 and pid < 120"))
-    return s.spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(m["w"])], "i int, wx double, wy double")
+    # the fit's equations: at a control point, the spline and its weight times the regulariser give the target
+    controls = fitting.control_pairs(s.anchors.where("pid % 11 <> 0"), 300)
+    m = fitting.spline_from(controls, 1e-2)
+    ctrl = s.spark.createDataFrame([(*map(float, c), *map(float, w)) for c, w in zip(m["ctrl"], m["w"], strict=True)], "x double, y double, wx double, wy double")
+    u, v = fitting.spline_xy(m, F.col("x"), F.col("y"))
+    return ctrl.select(F.floor(F.col("x") / 300).alias("gx"), F.floor(F.col("y") / 300).alias("gy"), (u + lit(1e-2) * F.col("wx")).alias("dx"), (v + lit(1e-2) * F.col("wy")).alias("dy"))
 
 
-@query("it32_spline_apply", "pid:l ok:b", "SELECT pid, TRUE AS ok FROM anchors WHERE pid % 11 <> 0 AND pid < 120")
+@query("it32_spline_apply", "pid:l u:d v:d", f"SELECT pid, {_spline_sql(0)} AS u, {_spline_sql(1)} AS v FROM (SELECT pid, sx AS x, sy AS y FROM anchors)")
 def _(s):
-    own = s.anchors.where("pid % 11 <> 0 and pid < 120")
-    u, v = fitting.spline_xy(fitting.spline_from(own), F.col("sx"), F.col("sy"))
-    return own.select("pid", (F.hypot(u - F.col("dx"), v - F.col("dy")) < 12).alias("ok"))
+    u, v = fitting.spline_xy(_SPLINE, F.col("sx"), F.col("sy"))
+    return s.anchors.select("pid", u.alias("u"), v.alias("v"))
 
 
-@query("it33_estimate", "num_points:l num_inliers:l small:b", "SELECT count(*) AS num_points, count(*) FILTER (WHERE pid % 11 <> 0) AS num_inliers, TRUE AS small FROM anchors")
+@query("it33_estimate", "num_points:l num_inliers:l mean_error:d median_error:d", f"""
+WITH m AS ({_lsq_sql("pid % 11 <> 0")}), t AS (SELECT max(v) FILTER (WHERE i = 0 AND j = 0) AS a, max(v) FILTER (WHERE i = 0 AND j = 1) AS b, max(v) FILTER (WHERE i = 0 AND j = 2) AS c,
+ max(v) FILTER (WHERE i = 1 AND j = 0) AS d, max(v) FILTER (WHERE i = 1 AND j = 1) AS e, max(v) FILTER (WHERE i = 1 AND j = 2) AS f FROM m),
+r AS (SELECT sqrt(pow(a * sx + b * sy + c - dx, 2) + pow(d * sx + e * sy + f - dy, 2)) AS error FROM anchors, t)
+SELECT count(*) AS num_points, count(*) FILTER (WHERE error <= 8) AS num_inliers, avg(error) FILTER (WHERE error <= 8) AS mean_error, median(error) FILTER (WHERE error <= 8) AS median_error FROM r""")
 def _(s):
     m, _ = fitting.ransac(s.anchors, "affine")
-    done = fitting.inlier_summary(s.anchors, m)
-    return done.withColumn("small", F.col("median_error") < 4)
+    return fitting.inlier_summary(s.anchors, m)
 
 
 _CELL_SQL = """SELECT cell_id, kind, (1.01::DOUBLE * mx + 0.02::DOUBLE * my + 5) / greatest(0.00001::DOUBLE * mx + 0.00002::DOUBLE * my + 1, 1e-8::DOUBLE) AS x_image,
@@ -396,15 +429,15 @@ def _(s):
 
 
 @query("fn_sql_point_maps", "pid:l ax:d hy:d", """
-SELECT pid, 1.02::DOUBLE * x - 0.03::DOUBLE * y + 40 AS ax, (-0.015::DOUBLE * x + 0.99::DOUBLE * y + 3) / greatest(0.00001::DOUBLE * x + 0.00002::DOUBLE * y + 1, 1e-8::DOUBLE) AS hy FROM few""")
+SELECT pid, 1.02::DOUBLE * x - 0.03::DOUBLE * y + 40 AS ax, (-0.015::DOUBLE * x + 0.99::DOUBLE * y + 3) / greatest(0.00001::DOUBLE * x + 0.00002::DOUBLE * y + 1, 1e-8::DOUBLE) AS hy FROM pts""")
 def _(s):
     from ..functions.registered import register
     from .adapters import HOMOGRAPHY
 
     register(s.spark)
-    s.few.createOrReplaceTempView("_few_points")
+    s.pts.createOrReplaceTempView("_points")
     a, h = (", ".join(f"{float(v)!r}D" for r in m for v in r) for m in (ANCHOR_MAP, HOMOGRAPHY))
-    return s.spark.sql(f"SELECT pid, img_affine_x(array({a}), x, y) AS ax, img_homography_y(array({h}), x, y) AS hy FROM _few_points")
+    return s.spark.sql(f"SELECT pid, img_affine_x(array({a}), x, y) AS ax, img_homography_y(array({h}), x, y) AS hy FROM _points")
 
 
 @query("fn_otsu_aggregate", "tile_id:l threshold:l", """SELECT tile_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY score DESC, v) AS rn FROM (SELECT tile_id, v,

@@ -91,39 +91,48 @@ def _(s):
     return raster.upsample(s.px, 2)
 
 
+# The reference stains' optical densities (red, green, blue) and their largest concentrations.
+STAINS = ((0.5626, 0.2159), (0.7201, 0.8012), (0.4062, 0.5581))
+STAIN_MOST = (1.9705, 1.0308)
+
+
 def stain_normalise(rgb: np.ndarray, io: float = 240.0, alpha: float = 1.0, beta: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Macenko: stain directions from the extreme angles in the plane of largest variance.
 
-    Returns the normalised image and the concentrations of both stains; None where too few pixels absorb.
+    Returns three 8-bit images: the normalised one, and that of each stain alone. None where too few pixels absorb.
     """
-    target = np.array([[0.5626, 0.2159], [0.7201, 0.8012], [0.4062, 0.5581]])
-    most = np.array([1.9705, 1.0308])
+    target, most = np.array(STAINS), np.array(STAIN_MOST)
     od = -np.log((rgb.reshape(-1, 3).astype(float) + 1) / io)
     solid = od[(od >= beta).all(1)]
     if len(solid) < 4:
         return None
     plane = np.linalg.eigh(np.cov(solid.T))[1][:, 1:3]
     angle = np.arctan2(*(solid @ plane).T[::-1])
-    lo, hi = np.percentile(angle, [alpha, 100 - alpha])
-    a, b = (plane @ np.array([np.cos(t), np.sin(t)]) for t in (lo, hi))
-    stains = np.stack([a, b] if a[0] > b[0] else [b, a], axis=1)
-    c = np.linalg.lstsq(stains, od.T, rcond=None)[0]
-    top = np.percentile(c, 99, axis=1)
-    c = c * (most / np.where(np.abs(top) < 1e-12, 1, top))[:, None]
-    out = np.clip(io * np.exp(-target @ c), 0, 255).T.reshape(rgb.shape)
-    return out, c[0], c[1]
+    first, second = sorted((plane @ [np.cos(t), np.sin(t)] for t in np.percentile(angle, [alpha, 100 - alpha])), key=lambda v: -v[0])
+    amount = np.linalg.lstsq(np.column_stack([first, second]), od.T, rcond=None)[0]
+    top = np.percentile(amount, 99, axis=1)
+    amount *= (most / np.where(np.abs(top) < 1e-12, 1, top))[:, None]
+
+    def image(density: np.ndarray) -> np.ndarray:
+        light = io * np.exp(-density.T)
+        return np.where(light > 255, 254, light).astype(np.uint8).reshape(rgb.shape)
 
+    return image(target @ amount), *(image(np.outer(target[:, i], amount[i])) for i in (0, 1))
 
-@query("pj05_stain_normalise", "tile_id:l y:l x:l h:d e:d")
+
+@query("pj05_stain_normalise", "tile_id:l y:l x:l " + " ".join(f"{i}{c}:l" for i in "nhe" for c in "rgb"))
 def _(s):
     import pandas as pd
 
+    names = [f"{i}{c}" for i in "nhe" for c in "rgb"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = stain_normalise(pdf[["r", "g", "b"]].to_numpy())
-        h, e = (np.zeros(len(pdf)), np.zeros(len(pdf))) if got is None else got[1:]
-        return pdf[["tile_id", "y", "x"]].assign(h=h, e=e)
+        rgb = pdf[["r", "g", "b"]].to_numpy()
+        got = stain_normalise(rgb)
+        values = np.hstack([rgb] * 3 if got is None else got).astype(int)
+        return pdf[["tile_id", "y", "x"]].assign(**{n: values[:, i] for i, n in enumerate(names)})
 
-    return s.rgb.groupBy("tile_id").applyInPandas(run, "tile_id long, y int, x int, h double, e double")
+    return s.rgb.groupBy("tile_id").applyInPandas(run, "tile_id long, y int, x int, " + ", ".join(f"{n} int" for n in names))
 
 
 @query("pj05_covariance", "tile_id:l rr:d rg:d bb:d", """
@@ -171,28 +180,35 @@ def _case_sql(expr: list[str]) -> str:
     return "CASE tile_id % 8 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(expr)) + " END"
 
 
-_FX = ["x", "4 - y", "7 - x", "y", "x", "7 - x", "y", "4 - y"]
-_FY = ["y", "x", "4 - y", "7 - x", "4 - y", "y", "x", "7 - x"]
+_FX = ["x", "15 - y", "7 - x", "y", "x", "7 - x", "y", "15 - y"]
+_FY = ["y", "x", "15 - y", "7 - x", "15 - y", "y", "x", "7 - x"]
+_TALL = "(SELECT tile_id // 2 AS tile_id, y + 8 * (tile_id % 2) AS y, x, v FROM px)"
 
 
-@query("pj12_orient", "tile_id:l y:l x:l v:l", f"SELECT tile_id, {_case_sql(_FY)} AS y, {_case_sql(_FX)} AS x, v FROM px WHERE y < 5")
+def _tall(s):
+    """Images of 8 x 16 pixels: every second tile below the one before."""
+    return s.px.select(F.floor(F.col("tile_id") / 2).alias("tile_id"), (F.col("y") + 8 * (F.col("tile_id") % 2)).cast("int").alias("y"), "x", "v")
+
+
+
+@query("pj12_orient", "tile_id:l y:l x:l v:l", f"SELECT tile_id, {_case_sql(_FY)} AS y, {_case_sql(_FX)} AS x, v FROM {_TALL}")
 def _(s):
-    x, y = C.orient_by((F.col("tile_id") % 8).cast("int"), F.col("x"), F.col("y"), F.lit(8), F.lit(5))
-    return s.px.where("y < 5").select("tile_id", y.alias("y"), x.alias("x"), "v")
+    x, y = C.orient_by((F.col("tile_id") % 8).cast("int"), F.col("x"), F.col("y"), F.lit(8), F.lit(16))
+    return _tall(s).select("tile_id", y.alias("y"), x.alias("x"), "v")
 
 
-@query("pj13_orient_tile", "tile_id:l y:l x:l v:l", f"SELECT tile_id, {_case_sql([*_FY[:6], '4 - y', _FY[7]])} AS y, {_case_sql([*_FX[:6], 'x', _FX[7]])} AS x, v FROM px WHERE y < 5")
+@query("pj13_orient_tile", "tile_id:l y:l x:l v:l", f"SELECT tile_id, {_case_sql([*_FY[:6], '15 - y', _FY[7]])} AS y, {_case_sql([*_FX[:6], 'x', _FX[7]])} AS x, v FROM {_TALL}")
 def _(s):
-    x, y = C.orient_by((F.col("tile_id") % 8).cast("int"), F.col("x"), F.col("y"), F.lit(8), F.lit(5), compat_case6=True)
-    return s.px.where("y < 5").select("tile_id", y.alias("y"), x.alias("x"), "v")
+    x, y = C.orient_by((F.col("tile_id") % 8).cast("int"), F.col("x"), F.col("y"), F.lit(8), F.lit(16), compat_case6=True)
+    return _tall(s).select("tile_id", y.alias("y"), x.alias("x"), "v")
 
 
-@query("pj14_unorient_hw", "tile_id:l y:l x:l y0:l x0:l", "SELECT tile_id, y, x, y AS y0, x AS x0 FROM px WHERE y < 5")
+@query("pj14_unorient_hw", "tile_id:l y:l x:l y0:l x0:l", f"SELECT tile_id, y, x, y AS y0, x AS x0 FROM {_TALL}")
 def _(s):
     case = (F.col("tile_id") % 8).cast("int")
-    x, y = C.orient_by(case, F.col("x"), F.col("y"), F.lit(8), F.lit(5))
+    x, y = C.orient_by(case, F.col("x"), F.col("y"), F.lit(8), F.lit(16))
     turned = case.isin(1, 3, 6, 7)
-    done = s.px.where("y < 5").withColumns({"ox": x, "oy": y, "ow": F.when(turned, 5).otherwise(8), "oh": F.when(turned, 8).otherwise(5)})
+    done = _tall(s).withColumns({"ox": x, "oy": y, "ow": F.when(turned, 16).otherwise(8), "oh": F.when(turned, 8).otherwise(16)})
     bx, by = C.unorient_oriented_by(case, F.col("ox"), F.col("oy"), F.col("ow"), F.col("oh"))
     return done.select("tile_id", "y", "x", by.alias("y0"), bx.alias("x0"))
 
@@ -215,11 +231,11 @@ def turn(op: str, w: int, h: int) -> list[list[float]]:
     }[op]
 
 
-@query("pj16_accumulate_turns", "pid:l u:d v:d", "SELECT pid, y AS u, 7 - x AS v FROM (SELECT pid, x, 4 - y AS y FROM few)")
+@query("pj16_accumulate_turns", "pid:l u:d v:d", "SELECT pid, y AS u, 7 - x AS v FROM (SELECT pid, x, 4 - y AS y FROM pts)")
 def _(s):
     # a vertical flip of an 8 x 5 image, then a turn against the clock
     x, y = C.affine_xy(C.matmul(turn("ccw", 8, 5), turn("flip_v", 8, 5)), F.col("x"), F.col("y"))
-    return s.few.select("pid", x.alias("u"), y.alias("v"))
+    return s.pts.select("pid", x.alias("u"), y.alias("v"))
 
 
 #: The linear parts of the eight orientation cases.
@@ -291,26 +307,26 @@ def _(s):
 
 
 @query("pj22_aligned_to_mask", "pid:l u:d v:d", """
-SELECT pid, ((x - 3 - 100) / 1.05::DOUBLE + 100 - 7) / 0.5 AS u, ((y + 2 - 75) / 1.05::DOUBLE + 75 - 4) / 0.5 AS v FROM few""")
+SELECT pid, ((x - 3 - 100) / 1.05::DOUBLE + 100 - 7) / 0.5 AS u, ((y + 2 - 75) / 1.05::DOUBLE + 75 - 4) / 0.5 AS v FROM pts""")
 def _(s):
     u, v = geometry.from_aligned(F.col("x"), F.col("y"), lit(1.05), lit(3), lit(-2), 201, 150, lit(7), lit(4), lit(0.5))
-    return s.few.select("pid", u.alias("u"), v.alias("v"))
+    return s.pts.select("pid", u.alias("u"), v.alias("v"))
 
 
-@query("pj23_aligned_to_original", "pid:l u:d v:d", "SELECT pid, (149 - y) / 2 AS u, (200 - x) / 2 AS v FROM few")
+@query("pj23_aligned_to_original", "pid:l u:d v:d", "SELECT pid, (149 - y) / 2 AS u, (200 - x) / 2 AS v FROM pts")
 def _(s):
     x, y = C.unorient_oriented_by(F.lit(7), F.col("x"), F.col("y"), F.lit(201), F.lit(150))
-    return s.few.select("pid", (x / 2).alias("u"), (y / 2).alias("v"))
+    return s.pts.select("pid", (x / 2).alias("u"), (y / 2).alias("v"))
 
 
-@query("pj24_inverse_affine", "pid:l u:d v:d", "SELECT pid, (x - 12) / 1.25::DOUBLE AS u, (y + 4) / 1.25::DOUBLE AS v FROM few")
+@query("pj24_inverse_affine", "pid:l u:d v:d", "SELECT pid, (x - 12) / 1.25::DOUBLE AS u, (y + 4) / 1.25::DOUBLE AS v FROM pts")
 def _(s):
-    return s.few.select("pid", ((F.col("x") - 12) / lit(1.25)).alias("u"), ((F.col("y") + 4) / lit(1.25)).alias("v"))
+    return s.pts.select("pid", ((F.col("x") - 12) / lit(1.25)).alias("u"), ((F.col("y") + 4) / lit(1.25)).alias("v"))
 
 
-@query("pj25_boxes", "pid:l x0:d y0:d w:d h:d", "SELECT pid, x - 20 AS x0, y - 20 AS y0, 40 AS w, 40 AS h FROM few")
+@query("pj25_boxes", "pid:l x0:d y0:d w:d h:d", "SELECT pid, x - 20 AS x0, y - 20 AS y0, 40 AS w, 40 AS h FROM pts")
 def _(s):
-    return geometry.boxes(s.few, 40)
+    return geometry.boxes(s.pts, 40)
 
 
 @query("pj26_box_forms", "tile_id:l x0:d y0:d w:d h:d", "SELECT * FROM tiles")
@@ -322,9 +338,9 @@ def _(s):
     return forms.select("tile_id", *[F.coalesce(f"d.{c}", F.col("a")[i]).alias(c) for i, c in enumerate(("x0", "y0", "w", "h"))])
 
 
-@query("pj27_extraction_level", "pid:l level:l", "SELECT pid, greatest(1, least(6, 5 - CAST(round_even(log2((pid + 3) / 50), 0) AS BIGINT))) AS level FROM few")
+@query("pj27_extraction_level", "pid:l level:l", "SELECT pid, greatest(1, least(6, 5 - CAST(round_even(log2((pid + 3) / 50), 0) AS BIGINT))) AS level FROM pts")
 def _(s):
-    return s.few.select("pid", geometry.extraction_level(F.lit(5), (F.col("pid") + 3).cast("double")).alias("level"))
+    return s.pts.select("pid", geometry.extraction_level(F.lit(5), (F.col("pid") + 3).cast("double")).alias("level"))
 
 
 @query("pj28_patch_level", "image:l level:l patch:l", "SELECT image, level, greatest(0, level - 1) AS patch FROM levels")
@@ -333,15 +349,15 @@ def _(s):
 
 
 @query("pj29_patch_length", "pid:l n:l", """
-SELECT pid, n + n % 2 AS n FROM (SELECT pid, CAST(ceil((pid + 10) * (greatest(sqrt(1.02::DOUBLE * 1.02 + 0.03 * 0.03), sqrt(0.02::DOUBLE * 0.02 + 0.98 * 0.98)) * 0.5 * 1.1)) AS BIGINT) AS n FROM few)""")
+SELECT pid, n + n % 2 AS n FROM (SELECT pid, CAST(ceil((pid + 10) * (greatest(sqrt(1.02::DOUBLE * 1.02 + 0.03 * 0.03), sqrt(0.02::DOUBLE * 0.02 + 0.98 * 0.98)) * 0.5 * 1.1)) AS BIGINT) AS n FROM pts)""")
 def _(s):
-    return s.few.select("pid", geometry.patch_length((F.col("pid") + 10).cast("double"), ANCHOR_MAP, 1, 2).alias("n"))
+    return s.pts.select("pid", geometry.patch_length((F.col("pid") + 10).cast("double"), ANCHOR_MAP, 1, 2).alias("n"))
 
 
-@query("pj30_scale_range", "pid:l lo:d hi:d", "SELECT pid, greatest(0.5, pid / 100 * 0.9) AS lo, least(3, pid / 100 * 1.1) AS hi FROM few")
+@query("pj30_scale_range", "pid:l lo:d hi:d", "SELECT pid, greatest(0.5, pid / 100 * 0.9) AS lo, least(3, pid / 100 * 1.1) AS hi FROM pts")
 def _(s):
     lo, hi = geometry.scale_range(F.col("pid") / 100, 0.1)
-    return s.few.select("pid", lo.alias("lo"), hi.alias("hi"))
+    return s.pts.select("pid", lo.alias("lo"), hi.alias("hi"))
 
 
 @query("pj31_fit_and_pad", "tile_id:l scale:d nw:l nh:l px:l py:l", """
@@ -409,31 +425,32 @@ def _(s):
     return grid.select("y", "x", (u / 100).alias("u"), (v / 100).alias("v"))
 
 
-def four_corner_map(src, dst) -> np.ndarray:
-    """The projective map that takes four corners to four places, from eight equations."""
-    a, b = [], []
-    for (x, y), (u, v) in zip(src, dst, strict=True):
-        a += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        b += [u, v]
-    return np.append(np.linalg.solve(np.array(a, float), np.array(b, float)), 1.0).reshape(3, 3)
+def four_corner_maps(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The projective maps that take four corners (rows, 4, 2) to four places, from eight equations each."""
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    o, z = np.ones_like(x), np.zeros_like(x)
+    a = np.concatenate([np.stack([x, y, o, z, z, z, -u * x, -u * y], -1), np.stack([z, z, z, x, y, o, -v * x, -v * y], -1)], axis=1)
+    m = np.linalg.solve(a, np.concatenate([u, v], axis=1)[..., None])[..., 0]
+    return np.concatenate([m, np.ones((len(m), 1))], axis=1).reshape(-1, 3, 3)
 
 
-@query("pj39_corner_homography", "tile_id:l m:d", "SELECT tile_id, 0 AS m FROM tiles")
+@query("pj39_corner_homography", "tile_id:l u:d v:d", f"""
+SELECT tile_id, {_hsql("{w}", 0)} AS u, {_hsql("{w}", 1)} AS v FROM (SELECT tile_id, x0 + w * 0.25::DOUBLE AS x, y0 + h * 0.75::DOUBLE AS y FROM tiles)""")
 def _(s):
     import pandas as pd
 
     q = geometry.quads(s.tiles, H)
 
     def run(batches):
+        # the map from a tile's own corners to its quad takes an inner point to where the quad's map takes it
         for pdf in batches:
-            gap = []
-            for r in pdf.itertuples():
-                src = [(r.x0 + r.w * u, r.y0 + r.h * v) for u, v in geometry.CORNERS]
-                m = four_corner_map(src, [(getattr(r, f"qx{i}"), getattr(r, f"qy{i}")) for i in range(4)])
-                gap.append(float(np.abs(m - np.array(H)).max()))
-            yield pd.DataFrame({"tile_id": pdf["tile_id"], "m": gap})
+            size = pdf[["w", "h"]].to_numpy()[:, None]
+            to = np.stack([pdf[[f"qx{i}", f"qy{i}"]].to_numpy() for i in range(4)], axis=1)
+            m = four_corner_maps(size * np.array(geometry.CORNERS, float), to)
+            got = np.einsum("nij,nj->ni", m, np.c_[size[:, 0] * [0.25, 0.75], np.ones(len(pdf))])
+            yield pd.DataFrame({"tile_id": pdf["tile_id"], "u": got[:, 0] / got[:, 2], "v": got[:, 1] / got[:, 2]})
 
-    return q.mapInPandas(run, "tile_id long, m double").withColumn("m", F.when(F.col("m") < 1e-4, 0.0).otherwise(F.col("m")))
+    return q.mapInPandas(run, "tile_id long, u double, v double")
 
 
 @query("pj40_normalised_matrix", "i:l v:d", "SELECT i, CASE i WHEN 0 THEN 2.02 WHEN 1 THEN 0.04 WHEN 2 THEN 10 ELSE 0 END / 2 AS v FROM (SELECT unnest([0, 1, 2]) AS i)")
@@ -443,10 +460,10 @@ def _(s):
     return one.where("i < 3")
 
 
-@query("pj41_drag_scale", "pid:l sx:d sy:d", "SELECT pid, greatest(0.05, (x * 0.8::DOUBLE + y * 0.6::DOUBLE) / 1000) AS sx, greatest(0.05, (-x * 0.6::DOUBLE + y * 0.8::DOUBLE) / 1000) AS sy FROM few")
+@query("pj41_drag_scale", "pid:l sx:d sy:d", "SELECT pid, greatest(0.05, (x * 0.8::DOUBLE + y * 0.6::DOUBLE) / 1000) AS sx, greatest(0.05, (-x * 0.6::DOUBLE + y * 0.8::DOUBLE) / 1000) AS sy FROM pts")
 def _(s):
     x, y = F.col("x"), F.col("y")
-    return s.few.select("pid", F.greatest(lit(0.05), (x * lit(0.8) + y * lit(0.6)) / 1000).alias("sx"), F.greatest(lit(0.05), (-x * lit(0.6) + y * lit(0.8)) / 1000).alias("sy"))
+    return s.pts.select("pid", F.greatest(lit(0.05), (x * lit(0.8) + y * lit(0.6)) / 1000).alias("sx"), F.greatest(lit(0.05), (-x * lit(0.6) + y * lit(0.8)) / 1000).alias("sy"))
 
 
 @query("pj42_manual_reprojection", "tile_id:l nucleus_id:l dapi_x:d he_x:d overridden:b", """

@@ -253,9 +253,9 @@ def _(s):
     return geometry.clamped(s.tiles, 900, 700, 2)
 
 
-@query("sk05_points_json", "pid:l json:s", """SELECT pid, '{"x":' || CAST(floor(x) AS BIGINT) || ',"y":' || CAST(floor(y) AS BIGINT) || '}' AS json FROM few""")
+@query("sk05_points_json", "pid:l json:s", """SELECT pid, '{"x":' || CAST(floor(x) AS BIGINT) || ',"y":' || CAST(floor(y) AS BIGINT) || '}' AS json FROM pts""")
 def _(s):
-    return s.few.select("pid", F.to_json(F.struct(F.floor("x").alias("x"), F.floor("y").alias("y"))).alias("json"))
+    return s.pts.select("pid", F.to_json(F.struct(F.floor("x").alias("x"), F.floor("y").alias("y"))).alias("json"))
 
 
 @query("sk06_standout_json", "pair_id:l json:s", """
@@ -275,9 +275,9 @@ def _(s):
 
 
 @query("sk08_centroid_json", "json:s", """
-SELECT '{"meta":{"level":1},"data":[' || string_agg('{"pid":' || pid || ',"tile_id":' || tile_id || '}', ',' ORDER BY pid) || ']}' AS json FROM anchors WHERE pid < 40""")
+SELECT '{"meta":{"level":1},"data":[' || string_agg('{"pid":' || pid || ',"tile_id":' || tile_id || '}', ',' ORDER BY pid) || ']}' AS json FROM anchors""")
 def _(s):
-    return artefacts.wrapped(s.anchors.where("pid < 40").select("pid", "tile_id"), {"level": 1}, "pid")
+    return artefacts.wrapped(s.anchors.select("pid", "tile_id"), {"level": 1}, "pid")
 
 
 @query("sk09_transform_csv", "line:l text:s", """
@@ -307,8 +307,8 @@ def _(s):
 
 
 @query("sk13_pyramid_export", "tile_id:l level:l n:l total:l", """
-SELECT tile_id, 0 AS level, count(*) AS n, sum(v) AS total FROM px WHERE tile_id < 60 GROUP BY tile_id UNION ALL
-SELECT tile_id, 1 AS level, count(*) AS n, sum(v) AS total FROM px WHERE tile_id < 60 AND y % 2 = 0 AND x % 2 = 0 GROUP BY tile_id""")
+SELECT tile_id, 0 AS level, count(*) AS n, sum(v) AS total FROM px GROUP BY tile_id UNION ALL
+SELECT tile_id, 1 AS level, count(*) AS n, sum(v) AS total FROM px WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY tile_id""")
 def _(s):
     import pandas as pd
 
@@ -317,7 +317,7 @@ def _(s):
         a[pdf["y"], pdf["x"]] = pdf["v"]
         return pd.DataFrame({"path": [str(pdf["tile_id"].iloc[0])], "content": [images.write_tiff([a, a[::2, ::2]])]})
 
-    files = s.px.where("tile_id < 60").groupBy("tile_id").applyInPandas(export, "path string, content binary")
+    files = s.px.groupBy("tile_id").applyInPandas(export, "path string, content binary")
     both = images.decode_files(files, 0).unionByName(images.decode_files(files, 1))
     return both.groupBy(F.col("image_id").cast("long").alias("tile_id"), "level").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 

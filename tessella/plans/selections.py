@@ -166,12 +166,12 @@ def _local(s):
 
 @query("jn01_place_anchors", "pid:l gx:l gy:l", _PLACE.format(x="x", y="y") + " WHERE x IS NOT NULL")
 def _(s):
-    return manual.place_anchors(_local(s).where("x is not null"), F.broadcast(s.tiles), 1.5)
+    return manual.place_anchors(_local(s).where("x is not null"), s.tiles, 1.5)
 
 
 @query("jn02_place_or_centre", "pid:l gx:l gy:l", _PLACE.format(x="coalesce(x, w / 2)", y="coalesce(y, h / 2)"))
 def _(s):
-    return manual.place_anchors(_local(s), F.broadcast(s.tiles), 1.5, default_to_centre=True)
+    return manual.place_anchors(_local(s), s.tiles, 1.5, default_to_centre=True)
 
 
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, nucleus_id, kind ORDER BY seq DESC) AS rn FROM overrides) WHERE rn = 1"
@@ -222,9 +222,9 @@ def _(s):
 _CLOSE = "SELECT a.pid AS i, b.pid AS j, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2 FROM {t} a JOIN {t} b ON a.pid < b.pid AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {r} * {r}"
 
 
-@query("jn09_close_pairs", "i:l j:l d2:d", _CLOSE.format(t="few", r=40))
+@query("jn09_close_pairs", "i:l j:l d2:d", _CLOSE.format(t="pts", r=40))
 def _(s):
-    return masks.close_pairs(s.few, 40)
+    return masks.close_pairs(s.pts, 40)
 
 
 @query("jn10_search_grid", "scale:d tx:l ty:l", "SELECT scale, tx, ty FROM (SELECT unnest([0.9, 1.0, 1.1]) AS scale), (SELECT unnest(range(-2, 3)) AS tx), (SELECT unnest(range(-2, 3)) AS ty)")
@@ -249,12 +249,12 @@ def _(s):
     return clicks.join(s.runs.select("tile_id", "y", "x", "label"), ["tile_id", "y", "x"], "left").select("tile_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-_DIST = "SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM few a JOIN few b ON a.pid < b.pid"
+_DIST = "SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM spots a JOIN spots b ON a.pid < b.pid"
 
 
 @query("jn13_pair_distances", "n:l mean:d far:d", f"SELECT count(*) AS n, avg(d) AS mean, max(d) AS far FROM ({_DIST})")
 def _(s):
-    return sampling.dispersion(s.few).crossJoin(s.few.agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")))
+    return sampling.dispersion(s.spots).crossJoin(s.spots.agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")))
 
 
 @query("jn14_lut_lookup", "tile_id:l y:l x:l r:l", "SELECT tile_id, y, x, 255 - v AS r FROM px")
@@ -309,14 +309,14 @@ def _(s):
     return raster.otsu(s.px)
 
 
-_CC = """WITH RECURSIVE small AS (SELECT tile_id, y, x, y * 8 + x AS id FROM pm WHERE fg = 1 AND tile_id < 60),
+_CC = """WITH RECURSIVE small AS (SELECT tile_id, y, x, y * 8 + x AS id FROM pm WHERE fg = 1),
 reach AS (SELECT tile_id, id, id AS r FROM small UNION SELECT n.tile_id, n.id, reach.r FROM reach JOIN small c ON c.tile_id = reach.tile_id AND c.id = reach.id
  JOIN small n ON n.tile_id = c.tile_id AND {near}), lab AS (SELECT tile_id, id, min(r) AS root FROM reach GROUP BY tile_id, id)
 SELECT tile_id, root, count(*) AS area, avg(id % 8) AS cx, avg(id // 8) AS cy FROM lab GROUP BY tile_id, root"""
 
 
 def _labelled(s, connectivity):
-    lab = masks.components(s.pm.where("tile_id < 60"), connectivity)
+    lab = masks.components(s.pm, connectivity)
     root = lab.where("label > 0").groupBy("tile_id", "label").agg(F.min(F.col("y") * 8 + F.col("x")).alias("root"))
     return masks.component_stats(lab).join(root, ["tile_id", "label"])
 
@@ -368,7 +368,7 @@ def _(s):
 
 
 _LLOYD = f"""WITH owned AS ({_NEAREST}), mean AS (SELECT cid, avg(x) AS mx, avg(y) AS my FROM owned GROUP BY cid)
-SELECT cid, x AS cx, y AS cy FROM (SELECT owned.cid, x, y, row_number() OVER (PARTITION BY owned.cid ORDER BY round(pow(x - mx, 2) + pow(y - my, 2), 6), pid) AS rn FROM owned JOIN mean USING (cid)) WHERE rn = 1"""
+SELECT c.cid, coalesce(k.x, c.cx) AS cx, coalesce(k.y, c.cy) AS cy FROM centres c LEFT JOIN (SELECT * FROM (SELECT owned.cid, x, y, row_number() OVER (PARTITION BY owned.cid ORDER BY round(pow(x - mx, 2) + pow(y - my, 2), 6), pid) AS rn FROM owned JOIN mean USING (cid)) WHERE rn = 1) k USING (cid)"""
 
 
 @query("ag13_cell_medoid", "cid:l cx:d cy:d", _LLOYD)
@@ -378,7 +378,7 @@ def _(s):
 
 @query("ag14_dispersion", "mean:d sd:d", f"SELECT avg(d) AS mean, stddev_pop(d) AS sd FROM ({_DIST})")
 def _(s):
-    return sampling.dispersion(s.few)
+    return sampling.dispersion(s.spots)
 
 
 _ERR = "SELECT *, sqrt(pow(1.02::DOUBLE * sx - 0.03::DOUBLE * sy + 40 - dx, 2) + pow(0.02::DOUBLE * sx + 0.98::DOUBLE * sy - 25 - dy, 2)) AS error FROM anchors"
@@ -409,18 +409,18 @@ def _(s):
     return e.groupBy("event_type").agg(F.count_if(F.startswith("msg", F.lit("Failed:"))).alias("n"))
 
 
-@query("ag19_close_degree", "pid:l bad:l", f"SELECT pid, count(*) AS bad FROM (SELECT i AS pid FROM ({_CLOSE.format(t='few', r=40)}) UNION ALL SELECT j FROM ({_CLOSE.format(t='few', r=40)})) GROUP BY pid")
+@query("ag19_close_degree", "pid:l bad:l", f"SELECT pid, count(*) AS bad FROM (SELECT i AS pid FROM ({_CLOSE.format(t='pts', r=40)}) UNION ALL SELECT j FROM ({_CLOSE.format(t='pts', r=40)})) GROUP BY pid")
 def _(s):
-    return sampling.crowding(s.few, 40)
+    return sampling.crowding(s.pts, 40)
 
 
-_CLUSTER = f"""WITH RECURSIVE link AS ({_CLOSE.format(t="few", r=25)}), sym AS (SELECT i, j FROM link UNION ALL SELECT j, i FROM link),
-reach AS (SELECT pid, pid AS r FROM few UNION SELECT sym.j, reach.r FROM reach JOIN sym ON sym.i = reach.pid), lab AS (SELECT pid, min(r) AS cluster FROM reach GROUP BY pid)
+_CLUSTER = f"""WITH RECURSIVE link AS ({_CLOSE.format(t="spots", r=25)}), sym AS (SELECT i, j FROM link UNION ALL SELECT j, i FROM link),
+reach AS (SELECT pid, pid AS r FROM spots UNION SELECT sym.j, reach.r FROM reach JOIN sym ON sym.i = reach.pid), lab AS (SELECT pid, min(r) AS cluster FROM reach GROUP BY pid)
 SELECT cluster, count(*) AS n, sum(pid % 10 + 1) AS area FROM lab GROUP BY cluster"""
 
 
 def _clusters(s):
-    stats = s.few.select(F.lit(0).alias("tile_id"), F.col("pid").alias("label"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("pid") % 10 + 1).alias("area"))
+    stats = s.spots.select(F.lit(0).alias("tile_id"), F.col("pid").alias("label"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("pid") % 10 + 1).alias("area"))
     return masks.clusters(stats, 25)
 
 
@@ -514,9 +514,9 @@ def _(s):
     return masks.per_image(s.pm, lambda a: (masks.chamfer(a > 0) ** 2).round(), "d2").withColumn("d2", F.least("d2", F.lit(256)))
 
 
-@query("wn09_stride", "pid:l", "SELECT pid FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM few) WHERE r % 7 = 0")
+@query("wn09_stride", "pid:l", "SELECT pid FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM pts) WHERE r % 7 = 0")
 def _(s):
-    return s.few.withColumn("r", F.row_number().over(Window.orderBy("pid")) - 1).where("r % 7 = 0")
+    return sampling.numbered(s.pts, [F.col("pid")], "r").where("r % 7 = 0")
 
 
 @query("so01_best_pairs", "pair_id:l a:l b:l", "SELECT pair_id, a, b FROM pairs ORDER BY round(f1, 9) DESC, pair_id, a, b LIMIT 20")
@@ -529,9 +529,9 @@ def _(s):
     return masks.top_clusters(_clusters(s), 15)
 
 
-@query("so03_worst_first", "pid:l rank:l", f"SELECT pid, row_number() OVER (ORDER BY bad DESC, pid) AS rank FROM (SELECT pid, count(*) AS bad FROM (SELECT i AS pid FROM ({_CLOSE.format(t='few', r=40)}) UNION ALL SELECT j FROM ({_CLOSE.format(t='few', r=40)})) GROUP BY pid) QUALIFY rank <= 25")
+@query("so03_worst_first", "pid:l rank:l", f"SELECT pid, row_number() OVER (ORDER BY bad DESC, pid) AS rank FROM (SELECT pid, count(*) AS bad FROM (SELECT i AS pid FROM ({_CLOSE.format(t='pts', r=40)}) UNION ALL SELECT j FROM ({_CLOSE.format(t='pts', r=40)})) GROUP BY pid) QUALIFY rank <= 25")
 def _(s):
-    top = sampling.crowding(s.few, 40).limit(25)
+    top = sampling.crowding(s.pts, 40).limit(25)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bad"), "pid")))
 
 

@@ -175,3 +175,136 @@ def test_versions(spark, tmp_path):
     artefacts.snapshot(df, str(tmp_path / "v"), 0)
     artefacts.snapshot(spark.range(9), str(tmp_path / "v"), 0)
     assert artefacts.restore(spark, str(tmp_path / "v")).count() == 3
+
+
+def test_distance_of_wide_images_needs_little_memory():
+    import tracemalloc
+
+    fg = np.ones((1000, 1000), bool)
+    fg[::37, ::41] = False
+    tracemalloc.start()
+    d = masks.chamfer(fg)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert d[18, 20] == pytest.approx(np.hypot(18, 20)) and d[0, 0] == 0
+
+
+def test_runs_of_wide_images(spark):
+    mask = spark.createDataFrame([(0, 0, 1100, 1), (0, 1, 0, 1), (0, 1, 1, 1), (0, 2, 1199, 1)], "tile_id long, y int, x int, fg int")
+    stats = masks.component_stats(masks.row_runs(mask, 1200))
+    assert sorted((r.label, r.area) for r in stats.collect()) == [(1101, 1), (1201, 2), (3600, 1)]
+
+
+def test_clusters_raise_where_rounds_are_too_few(spark):
+    chain = spark.createDataFrame([(0, i, float(i * 7919 % 64), 0.0, 1) for i in range(64)], "tile_id long, label long, cx double, cy double, area long")
+    with pytest.raises(RuntimeError):
+        masks.clusters(chain, 1.0, rounds=1)
+    assert {r.cluster for r in masks.clusters(chain, 1.0).collect()} == {0}
+
+
+def test_numbering_over_ranges(spark):
+    df = spark.range(500).selectExpr("id", "(id * 7919) % 1009 as k").repartition(7)
+    got = {r.k: r.n for r in sampling.numbered(df, [F.col("k")], "n").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda p: p[1])] == sorted(got) and sorted(got.values()) == list(range(500))
+
+
+def plain_stains(rgb):
+    """The three images, from the equations, a pixel at a time where that is possible."""
+    od = np.array([[-np.log((float(v) + 1) / 240) for v in p] for p in rgb.reshape(-1, 3)])
+    solid = np.array([p for p in od if min(p) >= 0.15])
+    _, vectors = np.linalg.eigh(np.cov(solid, rowvar=False))
+    big, small = vectors[:, 2], vectors[:, 1]
+    phi = [np.arctan2(p @ big, p @ small) for p in solid]
+    ends = [small * np.cos(t) + big * np.sin(t) for t in (np.percentile(phi, 1), np.percentile(phi, 99))]
+    he = np.array(sorted(ends, key=lambda v: -v[0])).T
+    c = np.array([np.linalg.solve(he.T @ he, he.T @ p) for p in od])
+    c = c / (np.percentile(c, 99, axis=0) / np.array([1.9705, 1.0308]))
+    ref = np.array([[0.5626, 0.2159], [0.7201, 0.8012], [0.4062, 0.5581]])
+
+    def light(v):
+        v = 240 * np.exp(-v)
+        return 254 if v > 255 else int(v)
+
+    return [np.array([[light(sum(ref[k, i] * p[i] for i in use)) for k in range(3)] for p in c]).reshape(rgb.shape) for use in ((0, 1), (0,), (1,))]
+
+
+def stained(seed, n=24):
+    """A made tile: dark round nuclei of one stain on a paler ground of the other."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[:n, :n]
+    a, b = np.zeros((n, n)), 0.4 + 0.1 * r.random((n, n))
+    for cy, cx in ((6, 6), (6, 13), (17, 16)):
+        a += 1.6 * (np.hypot(y - cy, x - cx) < 4)
+    od = a[..., None] * [0.65, 0.7, 0.29] + b[..., None] * [0.07, 0.99, 0.11] + 0.2
+    return np.clip(240 * np.exp(-od), 1, 255).astype(np.uint8)
+
+
+def test_stains():
+    from tessella.plans.projections import stain_normalise
+
+    rgb = stained(1)
+    for got, want in zip(stain_normalise(rgb), plain_stains(rgb), strict=True):
+        assert np.abs(got.astype(int) - want).max() <= 1
+    assert stain_normalise(np.full((4, 4, 3), 250)) is None
+
+
+def plain_disk(a, r, pick):
+    h, w = a.shape
+    return np.array([[pick(a[j, i] for j in range(max(0, y - r), min(h, y + r + 1)) for i in range(max(0, x - r), min(w, x + r + 1)) if (j - y) ** 2 + (i - x) ** 2 <= r * r) for x in range(w)] for y in range(h)])
+
+
+def test_histology_mask():
+    from tessella.plans.aligning import histology_mask
+
+    rgb = stained(2)
+    big = rgb.repeat(2, 0).repeat(2, 1)
+    grey = plain_stains(big)[1] @ np.array([0.2125, 0.7154, 0.0721]) / 255
+    for pick in (min, max, max, min):
+        grey = plain_disk(grey, 2, pick)
+    t = float(np.median(np.unique(grey)))
+    mask = grey > t
+    for lab, least, value in ((brute_labels(mask, CROSS), 30, False), (None, 60, True)):
+        lab = brute_labels(~mask, CROSS) if lab is None else lab
+        for k in range(1, lab.max() + 1):
+            if (lab == k).sum() < least:
+                mask[lab == k] = value
+    mask = plain_disk(plain_disk(mask, 1, max), 1, min)
+    got, label = histology_mask(rgb, t)
+    assert (got == mask).mean() > 0.99 and 0.05 < mask.mean() < 0.95
+    assert (label > 0).sum() <= got.sum() and label.max() >= 1
+
+
+def test_equalisation_maps_are_the_blocks_own():
+    from tessella.plans.projections import clahe
+
+    a = np.random.default_rng(3).integers(0, 256, (16, 16))
+    got = clahe(a, clip=2.0, grid=1)
+    n = np.bincount(a.reshape(-1), minlength=256).astype(float)
+    limit = max(1.0, 2.0 * 256 / 256)
+    n = np.minimum(n, limit) + np.maximum(n - limit, 0).sum() / 256
+    assert (got == np.round(np.cumsum(n) * 255 / 256)[a]).all()
+
+
+def test_watershed_parts_what_a_neck_joins():
+    y, x = np.mgrid[:30, :50]
+    two = (np.hypot(y - 15, x - 13) < 9) | (np.hypot(y - 15, x - 35) < 9) | ((abs(y - 15) < 2) & (x > 13) & (x < 35))
+    lab = masks.watershed_image(two, 30)
+    assert lab.max() == 2 and lab[15, 13] != lab[15, 35] and ((lab > 0) == two).all()
+    for k in (1, 2):
+        assert brute_labels(lab == k, CROSS).max() == 1
+
+
+def test_homography_over_all_pairs_is_the_direct_fit(spark):
+    r = np.random.default_rng(4)
+    s = r.random((300, 2)) * 900
+    m = np.array([[1.01, 0.02, 5], [-0.015, 0.99, 3], [1e-5, 2e-5, 1]])
+    q = np.c_[s, np.ones(300)] @ m.T
+    d = q[:, :2] / q[:, 2:] + r.normal(size=(300, 2))
+    df = spark.createDataFrame([tuple(map(float, p)) for p in np.c_[s, d]], "sx double, sy double, dx double, dy double")
+    assert np.allclose(fitting.homography_over(df), fitting.homography_fit(s, d), atol=1e-6)
+
+
+def test_too_many_controls_are_an_error(spark):
+    df = spark.range(fitting.MAX_CONTROLS + 1).selectExpr("cast(id as double) sx", "0D sy", "0D dx", "0D dy")
+    with pytest.raises(ValueError):
+        fitting.spline_from(df)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from tessella.functions import columns as C
 from tessella.operators import fitting, geometry, masks
-from tessella.plans.projections import four_corner_map, stain_normalise
+from tessella.plans.projections import four_corner_maps, stain_normalise
 
 number = st.floats(-1000, 1000, allow_nan=False)
 
@@ -49,7 +49,7 @@ def test_level0_lift_and_scale(x, y, a, b):
 def test_corner_map_meets_its_corners(noise):
     src = np.array([[0, 0], [100, 0], [100, 80], [0, 80]], float)
     dst = src + np.array(noise).reshape(4, 2) / 50
-    m = four_corner_map(src, dst)
+    m = four_corner_maps(src[None], dst[None])[0]
     p = np.c_[src, np.ones(4)] @ m.T
     assert np.allclose(p[:, :2] / p[:, 2:], dst, atol=1e-6)
     h = fitting.homography_fit(src, dst)
