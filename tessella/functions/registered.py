@@ -57,6 +57,54 @@ def otsu_threshold(v: pd.Series) -> int:
     return int(v.iloc[0]) if score.max() < 0 else int(np.argmax(np.round(score, 6)))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def fit_tps(sx: pd.Series, sy: pd.Series, dx: pd.Series, dy: pd.Series) -> list:
+    """Thin-plate spline of a group: six numbers of the affine part (constant, x, y; first of x, then of y), then each control's place and
+    weights; null for fewer than three pairs or controls on a line. More than ``MAX_CONTROLS`` pairs are an error."""
+    from ..operators.fitting import MAX_CONTROLS, spline_fit
+
+    if len(sx) > MAX_CONTROLS:
+        raise ValueError(f"a spline has at most {MAX_CONTROLS} control pairs")
+    s = np.c_[sx, sy].astype(float)
+    if len(s) < 3 or np.linalg.matrix_rank(s - s.mean(0)) < 2:
+        return None
+    model = spline_fit(s, np.c_[dx, dy].astype(float))
+    return [*np.array(model["a"]).T.reshape(-1).tolist(), *np.c_[model["ctrl"], model["w"]].reshape(-1).tolist()]
+
+
+def _over_images(kernel):
+    """A function of a flat image and its width, a whole column at a time."""
+
+    def run(v: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else kernel(np.asarray(a).reshape(-1, w)).reshape(-1).tolist() for a, w in zip(v, width, strict=True)])
+
+    return run
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def label_components(v: pd.Series, width: pd.Series) -> pd.Series:
+    """Labels of the 8-connected components of a flat mask; 0 is the ground."""
+    from ..operators.masks import label_image
+
+    return _over_images(lambda a: label_image(a > 0))(v, width)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def nuclei_mask_dapi(v: pd.Series, width: pd.Series) -> pd.Series:
+    """Nuclei of a flat fluorescence tile, enlarged twofold: 0 for nuclei, 255 for ground."""
+    from ..plans.aligning import dark_nuclei_mask
+
+    return _over_images(lambda a: dark_nuclei_mask(a.astype(float)))(v, width)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def nuclei_mask_he(rgb: pd.Series, width: pd.Series) -> pd.Series:
+    """Nuclei of a flat stained tile (colours of a pixel side by side), enlarged twofold: objects numbered from 1, 0 for ground."""
+    from ..plans.aligning import histology_mask
+
+    return _over_images(lambda a: histology_mask(a.reshape(len(a), -1, 3).astype(float))[1])(rgb, width * 3)
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
     for kind in "xy":
@@ -66,10 +114,20 @@ def register(spark: SparkSession) -> None:
             f"CREATE OR REPLACE TEMPORARY FUNCTION img_homography_{kind}(m ARRAY<DOUBLE>, px DOUBLE, py DOUBLE) RETURNS DOUBLE "
             f"RETURN ({a} * px + {b} * py + {c}) / greatest(m[6] * px + m[7] * py + m[8], 1e-8D)"
         )
+        k = "xy".index(kind)
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION img_tps_{kind}(m ARRAY<DOUBLE>, px DOUBLE, py DOUBLE) RETURNS DOUBLE RETURN "
+            f"aggregate(sequence(6, size(m) - 4, 4), m[{3 * k}] + m[{3 * k + 1}] * px + m[{3 * k + 2}] * py, (t, i) -> t + m[i + {2 + k}] * "
+            "CASE WHEN m[i] = px AND m[i + 1] = py THEN 0D ELSE (pow(px - m[i], 2) + pow(py - m[i + 1], 2)) * ln(pow(px - m[i], 2) + pow(py - m[i + 1], 2)) END)"
+        )
     spark.udtf.register("tile_grid", TileGrid)
     spark.udtf.register("search_grid", SearchGrid)
     spark.udf.register("fit_affine", fit_affine)
     spark.udf.register("otsu_threshold", otsu_threshold)
+    spark.udf.register("fit_tps", fit_tps)
+    spark.udf.register("label_components", label_components)
+    spark.udf.register("nuclei_mask_dapi", nuclei_mask_dapi)
+    spark.udf.register("nuclei_mask_he", nuclei_mask_he)
 
 
 def worker_per_file(files, worker, ddl: str):

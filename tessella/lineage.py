@@ -39,6 +39,13 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; removed when the program ends."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; removed when the program ends."""
     spark = df.sparkSession

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import drop, scratch
 from ..operators.masks import component_stats, row_runs
+from ..sources import export
 
-#: Size of a tile made of an embedding.
-SIDE = 8
+#: Size of a tile made of an embedding, and width of the slide that tiles make.
+SIDE, SLIDE_WIDTH = 8, 512
 
 #: The map from tile to target pixels that anchors follow, and an example of each transform.
 ANCHOR_MAP = ((1.02, -0.03, 40.0), (0.02, 0.98, -25.0))
@@ -27,6 +30,7 @@ VIEWS = {
     "ma": "SELECT tile_id // 2 AS pair_id, y, x, v, fg FROM pm WHERE tile_id % 2 = 0",
     "mb": "SELECT tile_id // 2 AS pair_id, y, x, v, fg FROM pm WHERE tile_id % 2 = 1",
     "big": "SELECT tile_id AS y, y * 8 + x AS x, v FROM px",
+    "slide": "SELECT (tile_id // 64) * 8 + y AS y, (tile_id % 64) * 8 + x AS x, v, v * 200 AS deep, 255 - v AS g, (v * 7) % 256 AS b FROM px",
     "rgb": "SELECT tile_id, y, x, v AS r, 255 - v AS g, (v * 7) % 256 AS b FROM px",
     "cells": (
         "SELECT p_partkey AS cell_id, p_retailprice * 3 + p_size AS x_centroid, "
@@ -130,6 +134,20 @@ class Source:
     def big(self) -> DataFrame:
         return self.px.select(F.col("tile_id").alias("y"), (F.col("y") * SIDE + F.col("x")).alias("x"), "v")
 
+    @property
+    def slide(self) -> DataFrame:
+        """The tiles side by side, 64 to a row, as one image of 8-bit colours (v, g, b) and 16 bits (deep)."""
+        v, t = F.col("v"), F.col("tile_id")
+        y, x = F.floor(t / 64) * SIDE + F.col("y"), t % 64 * SIDE + F.col("x")
+        return self.px.select(y.alias("y"), x.alias("x"), "v", (v * 200).alias("deep"), (255 - v).alias("g"), (v * 7 % 256).alias("b"))
+
+    def file_of(self, pixels: DataFrame, width: int, bands: tuple[str, ...] = ("v",), bits: int = 8, tile: int = 64) -> tuple[str, int]:
+        """An image written as a tiled file in the shared folder, and its height."""
+        h = int(pixels.agg(F.max("y")).first()[0]) + 1
+        path = f"{scratch(self.spark)}.tif"
+        atexit.register(drop, self.spark, path)
+        return export.write_big_tiff(export.packed_tiles(pixels, width, tile, bands, bits), path, width, h, tile, len(bands), bits), h
+
     @property
     def rgb(self) -> DataFrame:
         v = F.col("v")

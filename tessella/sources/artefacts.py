@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,19 @@ def append_event(spark: SparkSession, events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is read if a whole one is there, and built and written first if not."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def ome_xml(size_x: float, size_y: float, unit: str = "um") -> str:
+    """The part of an OME description that ``ome_meta`` reads: the size of a pixel."""
+    return f'<OME><Image><Pixels PhysicalSizeX="{size_x}" PhysicalSizeY="{size_y}" PhysicalSizeXUnit="{unit}" PhysicalSizeYUnit="{unit}"/></Image></OME>'
+
+
 def existing(manifest: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
     """Which of the wanted files a manifest has."""
     return wanted.join(manifest.select(key).distinct(), key, "left_semi")
