@@ -31,6 +31,10 @@ VIEWS = {
     "mb": "SELECT tile_id // 2 AS pair_id, y, x, v, fg FROM pm WHERE tile_id % 2 = 1",
     "big": "SELECT tile_id AS y, y * 8 + x AS x, v FROM px",
     "slide": "SELECT (tile_id // 64) * 8 + y AS y, (tile_id % 64) * 8 + x AS x, v, v * 200 AS deep, 255 - v AS g, (v * 7) % 256 AS b FROM px",
+    "whole": (
+        "SELECT i // 512 AS y, i % 512 AS x, coalesce(slide.v, 0) AS v, coalesce(deep, 0) AS deep, coalesce(g, 0) AS g, coalesce(b, 0) AS b "
+        "FROM (SELECT unnest(range(0, 512 * (SELECT max(y) + 1 FROM slide))) AS i) LEFT JOIN slide ON slide.y = i // 512 AND slide.x = i % 512"
+    ),
     "rgb": "SELECT tile_id, y, x, v AS r, 255 - v AS g, (v * 7) % 256 AS b FROM px",
     "cells": (
         "SELECT p_partkey AS cell_id, p_retailprice * 3 + p_size AS x_centroid, "

@@ -404,7 +404,7 @@ def _put(s, tiles, end: str):
 
 @query("sk01_tile_files", "tile_id:l n:l total:l preview:l", f"""
 SELECT tile_id, count(*) AS n, sum(deep) AS total, sum(trunc(round((deep - lo) * 255.0::DOUBLE / (hi - lo + 1e-8::DOUBLE), 9))) AS preview
-FROM (SELECT tile_id, deep, min(deep) OVER w AS lo, max(deep) OVER w AS hi FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=0.5)}) t JOIN slide ON {_INSIDE}
+FROM (SELECT tile_id, deep, min(deep) OVER w AS lo, max(deep) OVER w AS hi FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=0.5)}) t JOIN whole ON {_INSIDE}
  WINDOW w AS (PARTITION BY tile_id)) GROUP BY tile_id""")
 def _(s):
     path, h = s.file_of(s.slide, SLIDE_WIDTH, ("deep",), 16)
@@ -414,7 +414,7 @@ def _(s):
 
 
 @query("sk02_lut_files", "tile_id:l n:l total:l", f"""
-SELECT tile_id, 3 * count(*) AS n, sum(v + g + b) AS total FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=0.25)}) t JOIN slide ON {_INSIDE} GROUP BY tile_id""")
+SELECT tile_id, 3 * count(*) AS n, sum(v + g + b) AS total FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=0.25)}) t JOIN whole ON {_INSIDE} GROUP BY tile_id""")
 def _(s):
     path, h = s.file_of(s.slide, SLIDE_WIDTH, ("v", "g", "b"))
     return _sums(_put(s, export.cut(geometry.clamped(s.tiles, SLIDE_WIDTH, h, 0.25), path), "dapi"))
@@ -441,16 +441,12 @@ _PLACES = f"""SELECT tile_id, i, j, {_quad_sql("px0", "py0", 0)} AS sx, {_quad_s
 
 @query("sk03_he_files", "tile_id:l n:l total:l", _bilinear_sql(_PLACES, "tile_id"))
 def _(s):
-    path, h = s.file_of(s.slide, SLIDE_WIDTH, ("v", "g", "b"))
-    q = geometry.quads(geometry.expanded(s.tiles, 0.2), _H)
-    xs, ys = zip(*geometry.quad_points(), strict=True)
-    seen = q.where((F.least(*xs) < SLIDE_WIDTH) & (F.greatest(*xs) > 0) & (F.least(*ys) < h) & (F.greatest(*ys) > 0))
-    rw, rh = geometry.rectified_size(geometry.quad_points())
-    return _sums(_put(s, export.rectified(seen.withColumns({"rw": rw, "rh": rh}), path, _H), "he"))
+    path, _ = s.file_of(s.slide, SLIDE_WIDTH, ("v", "g", "b"))
+    return _sums(_put(s, export.rectified(geometry.expanded(s.tiles, 0.2), path, _H), "he"))
 
 
 @query("sk04_he0_files", "tile_id:l n:l total:l", f"""
-SELECT tile_id, 3 * count(*) AS n, sum(v + g + b) AS total FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=2)}) t JOIN slide ON {_INSIDE} GROUP BY tile_id""")
+SELECT tile_id, 3 * count(*) AS n, sum(v + g + b) AS total FROM ({_CLAMP.format(w=SLIDE_WIDTH, h=_HEIGHT, s=2)}) t JOIN whole ON {_INSIDE} GROUP BY tile_id""")
 def _(s):
     path, h = s.file_of(s.slide, SLIDE_WIDTH, ("v", "g", "b"))
     return _sums(_put(s, export.cut(geometry.clamped(s.tiles, SLIDE_WIDTH, h, 2), path), "he0"))
@@ -460,7 +456,7 @@ def _(s):
 SELECT pid, count(*) AS n, sum(deep) AS total FROM (SELECT pid, x, unnest(range(greatest(0, cy - 4), least(h, cy + 4))) AS y FROM
  (SELECT *, unnest(range(greatest(0, cx - 4), least({SLIDE_WIDTH}, cx + 4))) AS x FROM
   (SELECT pid, h, greatest(0, least({SLIDE_WIDTH - 1}, CAST(round_even(sx / 5, 0) AS BIGINT))) AS cx, greatest(0, least(h - 1, CAST(round_even(sy / 30, 0) AS BIGINT))) AS cy
-   FROM anchors, (SELECT max(y) + 1 AS h FROM slide)))) JOIN slide USING (x, y) GROUP BY pid""")
+   FROM anchors, (SELECT max(y) + 1 AS h FROM slide)))) JOIN whole USING (x, y) GROUP BY pid""")
 def _(s):
     path, h = s.file_of(s.slide, SLIDE_WIDTH, ("deep",), 16)
     boxes = s.anchors.withColumns(geometry.patch_box(F.col("sx") / 5, F.col("sy") / 30, 8, SLIDE_WIDTH, h))

@@ -18,7 +18,7 @@ from .images import DEFLATE, Tiff, opened, write_png
 MANIFEST_DDL = "path string, n_bytes long"
 
 
-def _over_image(boxes: DataFrame, path: str, level: int, one: Callable[[Tiff, object], bytes], keep: Sequence[str], name: str) -> DataFrame:
+def _over_image(boxes: DataFrame, path: str, level: int, one: Callable[[Tiff, object], bytes | None], keep: Sequence[str], name: str) -> DataFrame:
     """``one(image, row)`` for every row, with the image opened once a batch and read by windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,17 +77,23 @@ def _projected(m, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u / w, v / w
 
 
-def rectified(quads: DataFrame, path: str, m, level: int = 0, keep: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Boxes (x0, y0, w, h) seen through ``m``, straightened to ``rw`` x ``rh`` pixels, as PNG.
+def rectified(boxes: DataFrame, path: str, m, level: int = 0, keep: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """Boxes (x0, y0, w, h) seen through ``m`` and straightened, as PNG; boxes that fall wholly outside the image go.
 
-    The corners of the box are those of the result. Four corners fix a homography, which is thus that of the box followed by ``m``.
+    The result's corners are those of the box, its sides the means of opposite edges, rounded half to even, at least 2. Four
+    corners fix a homography, which is thus that of the box followed by ``m``.
     """
 
-    def one(image: Tiff, r) -> bytes:
-        j, i = np.meshgrid(np.arange(r.rw) / (r.rw - 1), np.arange(r.rh) / (r.rh - 1))
+    def one(image: Tiff, r) -> bytes | None:
+        x, y = _projected(m, r.x0 + r.w * np.array([0, 1, 1, 0]), r.y0 + r.h * np.array([0, 0, 1, 1]))
+        if x.min() >= image.shape[1] or x.max() <= 0 or y.min() >= image.shape[0] or y.max() <= 0:
+            return None
+        edge = np.hypot(np.roll(x, -1) - x, np.roll(y, -1) - y)  # top, right, bottom, left
+        rw, rh = (max(2, int(np.rint((edge[k] + edge[k + 2]) / 2))) for k in (0, 1))
+        j, i = np.meshgrid(np.arange(rw) / (rw - 1), np.arange(rh) / (rh - 1))
         return write_png(bilinear(image, *_projected(m, r.x0 + j * r.w, r.y0 + i * r.h)))
 
-    return _over_image(quads.select(*keep, "x0", "y0", "w", "h", "rw", "rh"), path, level, one, keep, "content")
+    return _over_image(boxes.select(*keep, "x0", "y0", "w", "h"), path, level, one, keep, "content").where("content is not null")
 
 
 def registered(grid: DataFrame, path: str, inverse, tile: int, level: int = 0) -> DataFrame:
