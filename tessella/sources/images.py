@@ -336,28 +336,44 @@ def decode(data: bytes, level: int = 0) -> np.ndarray:
     raise ValueError("unknown image format")
 
 
-def pixels_of(a: np.ndarray, image_id: str, level: int = 0) -> pd.DataFrame:
-    h, w, n = a.shape
-    y, x, b = np.meshgrid(np.arange(h), np.arange(w), np.arange(n), indexing="ij")
+#: Pixels of small images that make one frame of rows.
+FRAME = 250_000
+
+
+def pixel_frame(named: list[tuple[str, np.ndarray]], level: int = 0) -> pd.DataFrame:
+    """Pixel rows of one or more images, (H, W, bands) each."""
+    places = [np.indices(a.shape, dtype=np.int32).reshape(3, -1) for _, a in named]
+    y, x, band = np.concatenate(places, axis=1)
     return pd.DataFrame({
-        "image_id": image_id, "level": np.int32(level), "band": b.reshape(-1).astype("int32"),
-        "y": y.reshape(-1).astype("int32"), "x": x.reshape(-1).astype("int32"), "v": a.reshape(-1).astype("int32"),
+        "image_id": np.repeat(np.array([name for name, _ in named], dtype=object), [a.size for _, a in named]), "level": np.int32(level),
+        "band": band, "y": y, "x": x, "v": np.concatenate([a.reshape(-1) for _, a in named]).astype("int32"),
     })
 
 
+def pixels_of(a: np.ndarray, image_id: str, level: int = 0) -> pd.DataFrame:
+    return pixel_frame([(image_id, a)], level)
+
+
 def decode_files(files: DataFrame, level: int = 0, missing: str = "error") -> DataFrame:
     """Pixel rows of (path, content); ``missing="skip"`` leaves out what can't be decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some: list[tuple[str, np.ndarray]] = []
+        held = 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    a = decode(bytes(content), level)
+                    some.append((path, decode(bytes(content), level)))
                 except (ValueError, KeyError, struct.error, zlib.error, IndexError):
                     if missing == "skip":
                         continue
                     raise
-                yield pixels_of(a, path, level)
+                held += some[-1][1].size
+                if held > FRAME:
+                    yield pixel_frame(some, level)
+                    some, held = [], 0
+        if some:
+            yield pixel_frame(some, level)
 
     return files.select("path", "content").mapInPandas(run, PIXEL_DDL)
 
