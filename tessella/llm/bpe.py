@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, texts_of
+from .common import chunked, texts_of, tidy
 
 # Letters and numbers to the regex module that Unicode 16, the vocabulary pattern's version, doesn't have.
 LATER = (
@@ -93,7 +93,7 @@ class Codec(dict):
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
-        self.older: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.words = regex.compile(spec["pattern"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.names = dict((i, t) for t, i in chain(self.vocab.items(), self.special.items()))
@@ -150,15 +150,15 @@ class Codec(dict):
             return [piece[m.start() : m.end()] for m in self.words.finditer(NOT_YET.sub("\x01", piece))]
         return self.words.findall(piece)
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         """Pieces and words of late are remembered in two generations, so that frequent ones stay."""
         ids = self.older.get(piece)
         if ids is None:
             words = self.split(piece)
             if len(words) == 1:
-                ids = self.merge(words[0])
+                ids = tuple(self.merge(words[0]))
             else:
-                ids = [i for w in words for i in self[w]]
+                ids = tuple(i for w in words for i in self[w])
         if len(piece) < 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dec
 
     rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), *[F.lit("").alias("_decoded")] * decoded).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["_row", "_ids", "_decoded"])
 
     schema = tokens.select("_row", "_ids", F.lit("").alias("_decoded")).schema
-    return tokens.select("_row", "_ids").mapInArrow(run, schema)
+    return tokens.select("_row", "_ids").mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +71,29 @@ def texts_of(docs: DataFrame, text_col: str = "text", *more: Column, keep: list[
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"), *more, F.col(text_col).alias("_text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Sets the rows of an Arrow batch for this session, if they are still Spark's default."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: str = "2m") -> None:
+    """Sets the rows and bytes of an Arrow batch for this session, where they are still Spark's defaults."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: an idle worker, kept for later stages, else holds on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel of ``mapInArrow``, after which a worker gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return run
 
 
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, between, chunked, mix, prefix, texts_of, utf8
+from .common import U64, Words, between, chunked, mix, prefix, texts_of, tidy, utf8
 
 #: Item words in a window.
 WINDOW = 13
@@ -180,7 +180,7 @@ def decontaminate(
     for b in range(n_blocks):
         block = bench.where(F.pmod(F.xxhash64("i", "x"), F.lit(n_blocks)) == b) if n_blocks > 1 else bench
         tables = spark.sparkContext.broadcast(matchers([tuple(r) for r in block.collect()], window))
-        out = out.mapInArrow(_pass(tables), out.schema)
+        out = out.mapInArrow(tidy(_pass(tables)), out.schema)
     return out.select("_row", "_n_words", "_n_hit", "_hits", "_items")
 
 

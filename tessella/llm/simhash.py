@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunked, connected_components, local_components, stash, texts_of, utf8
+from .common import U64, Words, chunked, connected_components, local_components, stash, texts_of, tidy, utf8
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, RADIUS = 3, 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     """``_row`` (struct of the document's columns, or those of ``keep``) and its 64-bit SimHash ``_fp``; 0 for no words."""
     rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.lit(0).cast("long").alias("_fp")).schema
-    return rows.mapInArrow(_prints(shingle), schema)
+    return rows.mapInArrow(tidy(_prints(shingle)), schema)
 
 
 def popcounts(fp: Column) -> Column:
@@ -144,7 +144,7 @@ def links(prints: DataFrame, cap: int = CELL) -> DataFrame:
     grid = cells(prints)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stash(
-        grid.repartition(n, "cell").sortWithinPartitions("cell", "_fp").mapInArrow(_links(cap, RADIUS), "u long, v long")
+        grid.repartition(n, "cell").sortWithinPartitions("cell", "_fp").mapInArrow(tidy(_links(cap, RADIUS)), "u long, v long")
     )
     crowd = found.where("v is null").select(F.col("u").alias("_fp")).distinct()
     flips = F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])

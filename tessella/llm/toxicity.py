@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, small_batches, texts_of
+from .common import chunked, small_batches, texts_of, tidy
 from .decontaminate import TABLE
 
 #: Labelled rows that the examples are drawn from, at most: those of least hash.
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     small_batches(docs.sparkSession)
     examples = labelled(docs, labels, max_examples)
     sums = (
-        examples.select("text", "label").mapInArrow(_label_counts, "term binary, toxic long, clean long")
+        examples.select("text", "label").mapInArrow(tidy(_label_counts), "term binary, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     )
     n1, n0 = (examples.agg(F.sum("label"), F.sum(1 - F.col("label"))).first() or (0, 0))
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         )
 
     df = np.zeros(len(vocabulary) + 1)
-    counted = docs.select("text").mapInArrow(frequencies, "i long, df long").groupBy("i").agg(F.sum("df").alias("df"))
+    counted = docs.select("text").mapInArrow(tidy(frequencies), "i long, df long").groupBy("i").agg(F.sum("df").alias("df"))
     for i, x in counted.collect():
         df[i] = x
     total, df = df[-1], df[:-1]
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
                     names=["doc_id", "label", "t", "n"],
                 )
 
-    rows = examples.select("doc_id", "text", "label").mapInArrow(sparse, "doc_id long, label int, t array<int>, n array<int>").collect()
+    rows = examples.select("doc_id", "text", "label").mapInArrow(tidy(sparse), "doc_id long, label int, t array<int>, n array<int>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.t, r.n))
     blank = [r.label for r in rows if not r.t]
     rows = [r for r in rows if r.t]
@@ -296,7 +296,7 @@ def _votes_on_each_other(spark: SparkSession, model: Model) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], names=["id", "vote"])
 
     out = np.zeros(n)
-    for i, vote in spark.range(0, n, 1, max(1, min(64, n // 256))).mapInArrow(run, "id long, vote double").collect():
+    for i, vote in spark.range(0, n, 1, max(1, min(64, n // 256))).mapInArrow(tidy(run), "id long, vote double").collect():
         out[i] = vote
     return out
 
@@ -326,7 +326,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     rows = texts_of(docs, text_col, keep=keep)
     schema = rows.select("_row", F.lit(0.0).cast("double").alias("_score"), F.array().cast("array<long>").alias("_evidence")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
