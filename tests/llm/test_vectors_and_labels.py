@@ -59,6 +59,37 @@ def test_links_of_each_length(spark):
     assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == brute(rows)
 
 
+def test_rows_written_follow_the_vectors(spark, monkeypatch):
+    written, stash = [], vectors.stash
+
+    def counted(df):
+        written.append(stash(df))
+        return written[-1]
+
+    monkeypatch.setattr(vectors, "stash", counted)
+    vs = np.random.default_rng(5).normal(size=(600, 64)).tolist()
+    vs += vs[:3]
+    rows = [(i, v, 0) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sum(r.n_links for r in vectors.near_vectors(df).collect()) == 6
+    assert sum(w.count() for w in written) <= 2 * len(vs)
+
+
+def test_links_of_many_copies_and_cells():
+    r = np.random.default_rng(7)
+    v = np.concatenate([r.normal(size=(300, 16)), r.normal(size=16) + 0.01 * r.normal(size=(900, 16))])
+    geo = vectors.Geometry(16, 0.93)
+    u = geo.unit(v)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    for at_once in (vectors.AT_ONCE, 1000):
+        vectors_at_once, vectors.AT_ONCE = vectors.AT_ONCE, at_once
+        n, root = vectors._label_links(geo, v, np.ones(len(v), dtype=int), None)
+        vectors.AT_ONCE = vectors_at_once
+        assert (n == near.sum(1)).all()
+        assert len(set(root[300:])) == 1
+
+
 def test_pigeonhole():
     geo = vectors.Geometry(64, 0.93)
     r = np.random.default_rng(0)
