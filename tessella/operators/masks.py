@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,6 +332,11 @@ def top_clusters(clustered: DataFrame, k: int = 15, min_area: int = 0, key: Sequ
     return area.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def finite(points: DataFrame) -> DataFrame:
+    """Points with both coordinates; those without are close to nothing."""
+    return points.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xy"))
+
+
 def close_pairs(points: DataFrame, r: float, key: Sequence[str] = ()) -> DataFrame:
     """Pairs i < j of points at most r apart, by a grid of width r: each point meets nine cells."""
     cell = {"_gx": F.floor(F.col("x") / lit(r)), "_gy": F.floor(F.col("y") / lit(r))}
@@ -341,3 +347,100 @@ def close_pairs(points: DataFrame, r: float, key: Sequence[str] = ()) -> DataFra
     )
     d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
     return a.join(b, [*key, "_gx", "_gy"]).where(F.col("i") < F.col("j")).withColumn("d2", d2).where(F.col("d2") <= r * r).select(*key, "i", "j", "d2")
+
+
+#: Points of a tile whose neighbours a task counts together; the points that a tile should hold.
+OWN, TILE = 65536, 4096
+
+
+def _near_counts(x: np.ndarray, y: np.ndarray, own: np.ndarray, pid: np.ndarray, r: float) -> np.ndarray:
+    """How many of the points are at most r from each of the own ones and have another id.
+
+    Whole cells of a fine grid that lie within r are counted at once; only points of cells on the rim are measured.
+    """
+    n = np.zeros(len(own), dtype=np.int64)
+    spread = max((x.max() - x.min()) * (y.max() - y.min()), r * r)
+    fine = int(np.clip(np.sqrt(len(x) * r * r / spread / 24), 1, 32))
+    side = r / fine
+    gx, gy = (np.floor((v - v.min()) / side).astype(np.int64) + fine + 2 for v in (x, y))
+    width = int(gx.max()) + fine + 3
+    code = gy * width + gx
+    order = np.argsort(code, kind="stable")
+    code, sx, sy = code[order], x[order], y[order]
+    reach = np.arange(-fine - 1, fine + 2)
+    gap, far = np.maximum(np.abs(reach) - 1, 0), np.abs(reach) + 1
+    least, most = (np.hypot(v[:, None], v[None]) * side for v in (gap, far))  # of the distances between two cells
+    touched, inside = least <= r * (1 + 1e-6), most <= r * (1 - 1e-6)
+    rows = [(dy, np.flatnonzero(t), np.flatnonzero(i)) for dy, t, i in zip(reach, touched, inside, strict=True) if t.any()]
+    # columns touched in each row of cells, and those inside: runs around the middle
+    dy = np.array([d for d, _, _ in rows]) * width
+    t0, t1 = (np.array([reach[t[e]] for _, t, _ in rows]) for e in (0, -1))
+    i0 = np.array([reach[i[0]] if len(i) else z + 1 for (_, _, i), z in zip(rows, t1, strict=True)])
+    i1 = np.array([reach[i[-1]] if len(i) else z for (_, _, i), z in zip(rows, t1, strict=True)])
+    oc = gy[own] * width + gx[own]
+    by = np.argsort(oc, kind="stable")
+    starts = np.flatnonzero(np.diff(oc[by], prepend=-1))
+    for lo, hi in zip(starts, [*starts[1:], len(by)], strict=True):
+        mine = by[lo:hi]
+        c = oc[mine[0]] + dy
+        a, b, d, e = (np.searchsorted(code, c + v) for v in (t0, i0, i1 + 1, t1 + 1))
+        total = int((d - b).sum())
+        rim = np.concatenate([np.arange(s, z) for s, z in zip(np.concatenate([a, d]), np.concatenate([b, e]), strict=True) if s < z] or [np.zeros(0, np.int64)])
+        n[mine] = total
+        px, py = x[own[mine]], y[own[mine]]
+        rx, ry = sx[rim], sy[rim]
+        step = max(1, (1 << 18) // max(len(rim), 1))
+        for s in range(0, len(mine), step):
+            dx, dy2 = px[s : s + step, None] - rx, py[s : s + step, None] - ry
+            dx *= dx
+            dy2 *= dy2
+            dx += dy2
+            n[mine[s : s + step]] += np.count_nonzero(dx <= r * r, axis=1)
+    # a point isn't its own neighbour, nor are rows with its id
+    n -= 1
+    at = np.full(len(x), -1)
+    at[own] = np.arange(len(own))
+    ids = np.argsort(pid, kind="stable")
+    for lag in range(1, len(ids)):
+        p, q = ids[:-lag], ids[lag:]
+        same = pid[p] == pid[q]
+        if not same.any():
+            break
+        p, q = p[same], q[same]
+        near = (x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2 <= r * r
+        for v in (p[near], q[near]):
+            np.subtract.at(n, at[v][at[v] >= 0], 1)
+    return n
+
+
+def close_counts(points: DataFrame, r: float, key: Sequence[str] = ()) -> DataFrame:
+    """``pid`` and ``bad``, how many points of other ids are at most r away; one row for each point with any.
+
+    No pairs are formed: points are dealt to square tiles, with those up to r outside, and counted there.
+    Tiles are wide enough to hold ``TILE`` points on average, and those with more than ``OWN`` are cut.
+    """
+    p = written(finite(points).where("pid is not null").select(*key, "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    box = p.agg(F.count("*").alias("n"), *(f(c).alias(f"{m}{c}") for c in "xy" for m, f in (("lo", F.min), ("hi", F.max)))).first()
+    area = max((box.hix - box.lox) * (box.hiy - box.loy), r * r) if box.n else r * r
+    side = float(max(r, (area / max(box.n, 1) * TILE) ** 0.5))
+    near = lit(r * (1 + 1e-6))
+
+    def tiles(c):
+        return F.sequence(F.floor((F.col(c) - near) / lit(side)), F.floor((F.col(c) + near) / lit(side)))
+
+    home = p.withColumns({"_tx": F.floor(F.col("x") / lit(side)), "_ty": F.floor(F.col("y") / lit(side))})
+    sizes = home.groupBy(*key, "_tx", "_ty").agg(F.ceil(F.count("*") / OWN).cast("int").alias("_pieces"))
+    sent = home.withColumnsRenamed({"_tx": "_hx", "_ty": "_hy"}).withColumn("_tx", F.explode(tiles("x"))).withColumn("_ty", F.explode(tiles("y")))
+    cut = sent.join(sizes, [*key, "_tx", "_ty"]).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    mine = (F.col("_hx") == F.col("_tx")) & (F.col("_hy") == F.col("_ty")) & (F.pmod(F.xxhash64("pid"), F.col("_pieces")) == F.col("_piece"))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        pids = table.column("pid").combine_chunks()
+        own = np.flatnonzero(table.column("_own").to_numpy())
+        n = _near_counts(x, y, own, pids.dictionary_encode().indices.to_numpy(), r) if len(own) else np.zeros(0, dtype=np.int64)
+        return pa.table({"pid": pids.take(pa.array(own[n > 0])), "bad": n[n > 0]})
+
+    kind = p.schema["pid"].dataType.simpleString()
+    rows = cut.select(*key, "_tx", "_ty", "_piece", "pid", "x", "y", mine.alias("_own"))
+    return rows.groupBy(*key, "_tx", "_ty", "_piece").applyInArrow(run, f"pid {kind}, bad long")

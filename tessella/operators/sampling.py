@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lit
 from ..lineage import written
-from .masks import close_pairs
+from .masks import close_counts, close_pairs
 
 
 #: Points whose pairs are all measured, at most.
@@ -153,9 +153,7 @@ def lloyd(points: DataFrame, centres: DataFrame, iterations: int = 50) -> DataFr
 
 def crowding(points: DataFrame, r: float, key: Sequence[str] = ()) -> DataFrame:
     """Points with neighbours at most r away, and how many, worst first."""
-    p = close_pairs(points, r, key)
-    ends = p.select(F.col("i").alias("pid")).unionByName(p.select(F.col("j").alias("pid")))
-    return ends.groupBy("pid").agg(F.count("*").alias("bad")).orderBy(F.desc("bad"), "pid")
+    return close_counts(points, r, key).groupBy("pid").agg(F.sum("bad").alias("bad")).orderBy(F.desc("bad"), "pid")
 
 
 def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20, seed: int = 0) -> DataFrame:

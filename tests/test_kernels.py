@@ -1,5 +1,7 @@
 """Array kernels, image files, fits and coordinate maps against plain NumPy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +147,36 @@ def test_poisson_disk_is_maximal(spark):
         assert bool(near) != (i in kept)
 
 
+def crowd(seed=4):
+    """Points with repeated ids and places, some without coordinates, in a dense and a sparse part."""
+    r = np.random.default_rng(seed)
+    xy = np.concatenate([r.integers(0, 60, (500, 2)) / 2, r.random((200, 2)) * 400 - 100, [[1e6, 5], [1e6 + 3, 9], [-7e5, 0]]])
+    pts = [(i - i % 50 // 49, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    odd = [(900, None, 1.0), (901, float("nan"), 1.0), (902, 1.0, float("inf")), (None, 1.0, 1.0)]
+    near = [(p, q, (a - c) ** 2 + (b - d) ** 2) for p, a, b in pts for q, c, d in pts if p < q and (a - c) ** 2 + (b - d) ** 2 <= 25]
+    return pts + odd, near
+
+
+@pytest.mark.parametrize(("own", "tile"), [(masks.OWN, masks.TILE), (40, 60)])
+def test_crowding_counts_without_pairs(spark, own, tile, monkeypatch):
+    monkeypatch.setattr(masks, "OWN", own)
+    monkeypatch.setattr(masks, "TILE", tile)
+    pts, near = crowd()
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    want = Counter(p for i, j, _ in near for p in (i, j))
+    got = sampling.crowding(df, 5)
+    assert [tuple(r) for r in got.collect()] == sorted(want.items(), key=lambda p: (-p[1], p[0]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "d2" not in plan
+    assert sampling.crowding(df.where("false"), 5).collect() == []
+
+
+def test_crowding_by_key(spark):
+    rows = [(k, 10 * k + i, float(i), 0.0) for k in range(2) for i in range(4)]
+    df = spark.createDataFrame(rows, "tile_id long, pid long, x double, y double")
+    assert [tuple(r) for r in sampling.crowding(df, 1, ["tile_id"]).collect()] == [(1, 2), (2, 2), (11, 2), (12, 2), (0, 1), (3, 1), (10, 1), (13, 1)]
+
+
 def test_balanced_grid_keeps_four(spark):
     df = spark.range(100).select(F.col("id").alias("pid"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.col("id").alias("score"))
     assert {r.pid for r in sampling.grid_balanced(df).collect()} == {96, 97, 98, 99}
