@@ -177,6 +177,12 @@ def test_crowding_by_key(spark):
     assert [tuple(r) for r in sampling.crowding(df, 1, ["tile_id"]).collect()] == [(1, 2), (2, 2), (11, 2), (12, 2), (0, 1), (3, 1), (10, 1), (13, 1)]
 
 
+def test_worst_first_forms_no_pairs(spark, data):
+    from tessella.plans.queries import QUERIES
+
+    assert "d2" not in QUERIES["so03_worst_first"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_balanced_grid_keeps_four(spark):
     df = spark.range(100).select(F.col("id").alias("pid"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.col("id").alias("score"))
     assert {r.pid for r in sampling.grid_balanced(df).collect()} == {96, 97, 98, 99}
