@@ -444,3 +444,22 @@ def close_counts(points: DataFrame, r: float, key: Sequence[str] = ()) -> DataFr
     kind = p.schema["pid"].dataType.simpleString()
     rows = cut.select(*key, "_tx", "_ty", "_piece", "pid", "x", "y", mine.alias("_own"))
     return rows.groupBy(*key, "_tx", "_ty", "_piece").applyInArrow(run, f"pid {kind}, bad long")
+
+
+def close_to_lower(points: DataFrame, r: float) -> DataFrame:
+    """Ids of points with one of a lower id at most r away: the ``j`` of close pairs, each once.
+
+    Points of a cell of 0.7 r are all close to its lowest, so only the lowest of each cell are compared, with the points of the cells around.
+    """
+    cell = {c: F.floor(F.col(v) / lit(0.7 * r)) for c, v in (("_gx", "x"), ("_gy", "y"))}
+    p = written(finite(points).where("pid is not null").select("pid", "x", "y").withColumns(cell))
+    low = p.groupBy("_gx", "_gy").agg(F.min("pid").alias("_low"))
+    marked = p.join(low.hint("merge"), ["_gx", "_gy"])
+    crowd = marked.where("pid > _low").select("pid")
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3) if dx or dy])
+    first = marked.where("pid = _low").withColumn("_o", F.explode(steps)).select(
+        F.col("pid").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("_gx") + F.col("_o.dx")).alias("_gx"), (F.col("_gy") + F.col("_o.dy")).alias("_gy")
+    )
+    d2 = (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2
+    met = p.join(first.hint("merge"), ["_gx", "_gy"]).where(F.col("pid") < F.col("j")).where(d2 <= r * r)
+    return crowd.unionByName(met.select(F.col("j").alias("pid"))).distinct()

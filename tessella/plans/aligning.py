@@ -42,7 +42,7 @@ def _(s):
 
 @query("it05_close_pair_repair", "pid:l", f"SELECT DISTINCT j AS pid FROM ({_CLOSE.format(t='pts', r=30)})")
 def _(s):
-    return masks.close_pairs(s.pts, 30).select(F.col("j").alias("pid")).distinct()
+    return masks.close_to_lower(s.pts, 30)
 
 
 @query("it06_sampling", "tile:l x0:d y0:d w:d h:d")

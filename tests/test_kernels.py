@@ -183,6 +183,13 @@ def test_worst_first_forms_no_pairs(spark, data):
     assert "d2" not in QUERIES["so03_worst_first"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_repair_compares_the_lowest_of_cells(spark):
+    pts, near = crowd()
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    got = masks.close_to_lower(df, 5)
+    assert sorted(r.pid for r in got.collect()) == sorted({j for _, j, _ in near})
+
+
 def test_balanced_grid_keeps_four(spark):
     df = spark.range(100).select(F.col("id").alias("pid"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.col("id").alias("score"))
     assert {r.pid for r in sampling.grid_balanced(df).collect()} == {96, 97, 98, 99}
