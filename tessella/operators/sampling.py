@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from ..lineage import written
 from .masks import close_counts, close_pairs
 
 
-#: Points whose pairs are all measured, at most.
-MANY = 20_000
+#: Points of a block whose pairs with those of another a task measures.
+BLOCK = 8192
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -179,13 +181,44 @@ def repel(points: DataFrame, coords: DataFrame, min_sep: float, rounds: int = 20
 
 
 def dispersion(points: DataFrame) -> DataFrame:
-    """Mean, population deviation and maximum of the pairwise distances of a small point set."""
-    if (n := points.count()) > MANY:
-        raise ValueError(f"{n} points have too many pairs; sample at most {MANY} of them first")
-    a = points.select(F.col("pid").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = F.broadcast(points.select(F.col("pid").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by")))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return a.join(b, F.col("i") < F.col("j")).select(d.alias("d")).agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.max("d").alias("far"))
+    """Mean, population deviation and maximum of the pairwise distances, and how many pairs ``n`` there are.
+
+    Points are dealt to blocks by their id, and each pair of blocks is measured in one task. Pairs are of different ids;
+    those without a distance, as a coordinate is null, count in ``n`` only.
+    """
+    p = points.where("pid is not null").select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = written(p)
+    blocks = max(1, -(-p.count() // BLOCK))
+    dealt = p.withColumn("_b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = dealt.select(F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), (F.col("_b") <= F.col("_o")).alias("_left"), "pid", "x", "y")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own = key[0].as_py() == key[1].as_py()
+        gone = pc.or_(table.column("x").is_null(), table.column("y").is_null()).to_numpy()
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        pid = table.column("pid").combine_chunks().dictionary_encode().indices.to_numpy()
+        left = table.column("_left").to_numpy()
+        order = np.argsort(pid, kind="stable")
+        a, b = (order, order) if own else (np.flatnonzero(left), np.flatnonzero(~left))
+        n = met = 0
+        mean = m2 = far = 0.0
+        for start in range(0, len(a), 64):
+            i, j = a[start : start + 64], b[start:] if own else b
+            pair = pid[i][:, None] < pid[j] if own else np.ones((len(i), len(j)), dtype=bool)
+            n += int(pair.sum())
+            d = np.hypot(x[i][:, None] - x[j], y[i][:, None] - y[j])[pair & ~gone[i][:, None] & ~gone[j]]
+            if len(d):
+                gap, total = d.mean() - mean, met + len(d)
+                m2 += ((d - d.mean()) ** 2).sum() + gap * gap * met * len(d) / total
+                mean, met, far = mean + gap * len(d) / total, total, max(far, d.max())
+        return pa.table({"n": [n], "met": [met], "mean": [float(mean)], "m2": [float(m2)], "far": [float(far)]})
+
+    found = written(rows.groupBy("_p", "_q").applyInArrow(run, "n long, met long, mean double, m2 double, far double"))
+    some = found.where("met > 0")
+    total = some.agg(F.sum("met").alias("met"), (F.sum(F.col("met") * F.col("mean")) / F.sum("met")).alias("whole"), F.max("far").alias("far"))
+    within = some.crossJoin(F.broadcast(total.select("whole"))).agg(F.sum(F.col("m2") + F.col("met") * (F.col("mean") - F.col("whole")) ** 2).alias("m2"))
+    count = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return count.crossJoin(total).crossJoin(within).select("n", F.col("whole").alias("mean"), F.sqrt(F.col("m2") / F.col("met")).alias("sd"), "far")
 
 
 def in_view(points: DataFrame, w: float, h: float, cap: int) -> DataFrame:

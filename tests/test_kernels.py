@@ -147,6 +147,27 @@ def test_poisson_disk_is_maximal(spark):
         assert bool(near) != (i in kept)
 
 
+@pytest.mark.parametrize("block", [sampling.BLOCK, 50])
+def test_dispersion_of_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", block)
+    r = np.random.default_rng(9)
+    pts = [(i - i % 90 // 89, float(x), float(y)) for i, (x, y) in enumerate(1e5 + r.random((400, 2)) * 9)] + [(None, 0.0, 0.0), (1000, None, 0.0)]
+    d = [np.hypot(a - c, b - e) for p, a, b in pts[:400] for q, c, e in pts[:400] if p < q]
+    got = sampling.dispersion(spark.createDataFrame(pts, "pid long, x double, y double")).first()
+    assert got.n == len(d) + 400
+    assert np.allclose([got["mean"], got.sd, got.far], [np.mean(d), np.std(d), max(d)], rtol=1e-9)
+
+
+def test_dispersion_of_more_than_a_driver_holds(spark):
+    line = spark.range(20_001).selectExpr("id as pid", "double(id) as x", "0d as y")
+    n = 20_001
+    got = sampling.dispersion(line).first()
+    assert got.n == n * (n - 1) // 2 and got.far == n - 1
+    assert np.allclose([got["mean"], got.sd], [(n + 1) / 3, np.sqrt((n + 1) * (n - 2) / 18)])
+    none = sampling.dispersion(line.where("pid = 0")).first()
+    assert tuple(none) == (0, None, None, None)
+
+
 def crowd(seed=4):
     """Points with repeated ids and places, some without coordinates, in a dense and a sparse part."""
     r = np.random.default_rng(seed)
