@@ -168,6 +168,13 @@ def test_dispersion_of_more_than_a_driver_holds(spark):
     assert tuple(none) == (0, None, None, None)
 
 
+def test_pair_distances_of_many_suppliers(spark, tmp_path):
+    from tessella.plans.queries import QUERIES
+
+    spark.range(20_001).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert QUERIES["jn13_pair_distances"](spark, str(tmp_path)).first().n == 20_001 * 20_000 // 2
+
+
 def crowd(seed=4):
     """Points with repeated ids and places, some without coordinates, in a dense and a sparse part."""
     r = np.random.default_rng(seed)
