@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lit
 from ..lineage import written
-from .masks import close_counts, close_pairs
+from .masks import close_counts, close_pairs, finite
 
 
+#: Points that the driver picks from at once; chosen points of a round that are broadcast, at most.
+FEW = 2000
 #: Points of a block whose pairs with those of another a task measures.
 BLOCK = 8192
 
@@ -94,33 +97,73 @@ def farthest_points(points: DataFrame, k: int) -> DataFrame:
     return points.sparkSession.createDataFrame(chosen, "step int, pid long, x double, y double")
 
 
+def _first_apart(own: DataFrame, min_dist: float, n: int) -> DataFrame:
+    """The first ``n`` points of the greedy set: batches in order of rank, each without what is too near to points chosen before.
+
+    The driver holds a batch and the points chosen. Each batch adds its first point at least.
+    """
+    chosen: list[tuple] = []
+    order = ["rank", "pid", "x", "y"]
+    rows = own.select(*order)
+    rest = rows
+    while True:
+        batch = rest.orderBy(*order).limit(FEW).collect()
+        for p in batch:
+            placed = p.x is not None and p.y is not None and np.isfinite(p.x) and np.isfinite(p.y)
+            if len(chosen) < n and not (placed and any((p.x - x) ** 2 + (p.y - y) ** 2 < min_dist * min_dist for _, _, x, y in chosen if x is not None and y is not None)):
+                chosen.append(tuple(p))
+        got = own.sparkSession.createDataFrame(chosen, rows.schema)
+        if len(batch) < FEW or len(chosen) >= n:
+            break
+        at = got.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+        near = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 < min_dist * min_dist
+        last = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, batch[-1], strict=True)])
+        rest = rows.where(F.struct(*order) > last).join(F.broadcast(at), near, "left_anti")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("pid", "x", "y")]
+    return own.alias("o").join(F.broadcast(got.alias("g")), same, "left_semi").orderBy(*order).limit(n).drop("rank")
+
+
 def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed: int = 0) -> DataFrame:
-    """A maximal set of points at least ``min_dist`` apart, greedy in hash order.
+    """A maximal set of points at least ``min_dist`` apart, greedy in hash order; of a few, ``n``, the first ones.
 
-    Points meet in grid cells only. A point enters when no nearer one of lower order is undecided or
-    in; rounds go on until all are decided, so the result doesn't depend on partitions.
+    Points of a cell of 0.7 ``min_dist`` are too near to each other, so that only the first of each can be next. It enters
+    if it comes before the first ones of all cells around, and what is too near to it goes; rounds go on until
+    no point is undecided, so the result doesn't depend on partitions, and no pairs of points are formed.
+    Points without coordinates are near to none.
     """
-    own = written(points.withColumn("rank", F.xxhash64("pid", F.lit(seed))))
-    pairs = close_pairs(own.select("pid", "x", "y"), min_dist).where(F.col("d2") < min_dist * min_dist)
-    ranks = own.select("pid", "rank")
-    pairs = pairs.join(ranks.withColumnsRenamed({"pid": "i", "rank": "ri"}), "i").join(ranks.withColumnsRenamed({"pid": "j", "rank": "rj"}), "j")
-    first = (F.col("ri") < F.col("rj")) | ((F.col("ri") == F.col("rj")) & (F.col("i") < F.col("j")))
-    before = written(pairs.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")))
-    state = own.select("pid", F.lit(0).alias("s"))  # 0 undecided, 1 in, 2 out
+    own = points.withColumn("rank", F.xxhash64("pid", F.lit(seed)))
+    if n is not None and n <= FEW:
+        return _first_apart(own, min_dist, n)
+    own = written(own)
+    at = ["_gx", "_gy"]
+    cell = {c: F.floor(F.col(v) / lit(0.7 * min_dist)) for c, v in zip(at, "xy", strict=True)}
+    left = written(finite(own).select("rank", "pid", "x", "y").withColumns(cell))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3)])
+
+    def around(df: DataFrame, *cols) -> DataFrame:
+        """Each row in its cell and the 24 around."""
+        sent = df.withColumn("_o", F.explode(steps))
+        return sent.select((F.col("_gx") + F.col("_o.dx")).alias("_gx"), (F.col("_gy") + F.col("_o.dy")).alias("_gy"), *cols)
+
+    inside = []
     for _ in range(200):
-        above = before.join(state.select(F.col("pid").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("pid")).agg(
-            F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("waits")
-        )
-        step = state.join(above, "pid", "left").select(
-            "pid",
-            F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("blocked", F.lit(0)) == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0).alias("s"),
-        )
-        state = written(step)
-        if not state.where("s = 0").limit(1).count():
+        low = written(left.groupBy(*at).agg(F.min(F.struct("rank", "pid", "x", "y")).alias("m")))
+        least = around(low, "m").groupBy(*at).agg(F.min("m").alias("least"))
+        chosen = written(low.join(least.hint("merge"), at).where(F.col("m") == F.col("least")).select(*at, "m"))
+        if not (count := chosen.count()):
             break
+        inside.append(chosen.select("m.pid", "m.x", "m.y"))
+        sent = around(chosen, F.col("m.x").alias("_x"), F.col("m.y").alias("_y"))
+        sent = F.broadcast(sent) if count <= FEW else sent.hint("merge")
+        near = (F.col("l.x") - F.col("s._x")) ** 2 + (F.col("l.y") - F.col("s._y")) ** 2 < min_dist * min_dist
+        left = written(left.alias("l").join(sent.alias("s"), [F.col(f"l.{c}") == F.col(f"s.{c}") for c in at] + [near], "left_anti"))
     else:
         raise RuntimeError("points are still undecided after 200 rounds")
-    kept = own.join(state.where("s = 1").select("pid"), "pid", "left_semi")
+    plain = F.coalesce(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") != float("inf")) & (F.abs("y") != float("inf")), F.lit(False))
+    kept = own.where(~plain)
+    if inside:
+        kept = kept.unionByName(own.join(reduce(DataFrame.unionByName, inside), ["pid", "x", "y"], "left_semi"))
+    kept = kept.select(*own.columns)
     return kept.orderBy("rank", "pid").limit(n).drop("rank") if n is not None else kept.drop("rank")
 
 

@@ -218,6 +218,25 @@ def test_repair_compares_the_lowest_of_cells(spark):
     assert sorted(r.pid for r in got.collect()) == sorted({j for _, j, _ in near})
 
 
+@pytest.mark.parametrize("few", [sampling.FEW, 8])
+def test_poisson_disk_is_greedy_in_hash_order(spark, few, monkeypatch):
+    monkeypatch.setattr(sampling, "FEW", few)
+    rng = np.random.default_rng(3)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.random((500, 2)) * 30, rng.random((80, 2)) * 200 - 90, rng.integers(0, 40, (60, 2))]))]
+    pts += [(900, None, 1.0), (901, float("nan"), 1.0)]
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    ranked = [(r.pid, r.x, r.y) for r in df.orderBy(F.xxhash64("pid", F.lit(0)), "pid").collect()]
+    want = []
+    for p, x, y in ranked:
+        if not any(x is not None and c is not None and (x - c) ** 2 + (y - d) ** 2 < 25 for _, c, d in want):
+            want.append((p, x, y))
+    ids = [p for p, _, _ in want]
+    assert sorted(r.pid for r in sampling.poisson_disk(df, 5).collect()) == sorted(ids)
+    for n in (1, 7, 30, 3000):
+        assert sorted(r.pid for r in sampling.poisson_disk(df, 5, n=n).collect()) == sorted(ids[:n])
+    assert sampling.poisson_disk(df.where("false"), 5).collect() == []
+
+
 def test_balanced_grid_keeps_four(spark):
     df = spark.range(100).select(F.col("id").alias("pid"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.col("id").alias("score"))
     assert {r.pid for r in sampling.grid_balanced(df).collect()} == {96, 97, 98, 99}
