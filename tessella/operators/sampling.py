@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -167,29 +167,53 @@ def poisson_disk(points: DataFrame, min_dist: float, n: int | None = None, seed:
     return kept.orderBy("rank", "pid").limit(n).drop("rank") if n is not None else kept.drop("rank")
 
 
+def _owned(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Points with their nearest centre, without a shuffle: the centres are one row that all tasks get."""
+    all_of = centres.agg(F.collect_list(F.struct("cid", "cx", "cy")).alias("_cs"))
+    gap = F.transform("_cs", lambda c: F.struct(((F.col("x") - c["cx"]) ** 2 + (F.col("y") - c["cy"]) ** 2).alias("d2"), c["cid"].alias("cid")))
+    met = points.crossJoin(F.broadcast(all_of)).withColumn("m", F.array_min(gap)).where("m is not null")
+    return met.select("pid", "x", "y", F.col("m.cid").alias("cid"), F.col("m.d2").alias("d2"))
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     """Each point's nearest centre (cid, cx, cy); ties go to the lower id. The centres are few and broadcast."""
-    d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
-    met = points.crossJoin(F.broadcast(centres)).withColumn("d2", d2)
-    return met.groupBy("pid", "x", "y").agg(F.min(F.struct("d2", "cid")).alias("m")).select("pid", "x", "y", F.col("m.cid").alias("cid"), F.col("m.d2").alias("d2"))
+    return _owned(points.select("pid", "x", "y").distinct(), centres)
 
 
-def lloyd_step(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Centres moved to the member nearest to their cell's mean; a centre without members stays."""
-    owned = nearest_centre(points, centres)
+def _owned_by(points: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Points with the nearest of centres that the driver holds, in order of their ids."""
+    cid, cx, cy = (np.array(c) for c in zip(*rows, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[:, None] for c in "xy")
+            step = max(1, (1 << 18) // len(cid))
+            best = [np.argmin((x[i : i + step] - cx) ** 2 + (y[i : i + step] - cy) ** 2, axis=1) for i in range(0, len(x), step)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid[np.concatenate(best)] if best else cid[:0])], names=["pid", "x", "y", "cid"])
+
+    return points.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", cid long")
+
+
+def _moved(owned: DataFrame, centres: DataFrame) -> DataFrame:
     mean = owned.groupBy("cid").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     gap = F.round((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2, 6)
     snapped = owned.join(F.broadcast(mean), "cid").groupBy("cid").agg(F.min(F.struct(gap.alias("g"), F.col("pid"), F.col("x"), F.col("y"))).alias("m"))
     return centres.join(snapped, "cid", "left").select("cid", F.coalesce("m.x", "cx").alias("cx"), F.coalesce("m.y", "cy").alias("cy"))
 
 
+def lloyd_step(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Centres moved to the member nearest to their cell's mean; a centre without members stays."""
+    return _moved(nearest_centre(points, centres), centres)
+
+
 def lloyd(points: DataFrame, centres: DataFrame, iterations: int = 50) -> DataFrame:
     """Repeated steps until no centre moves. The centres, a fixed small number, go through the driver."""
     spark = points.sparkSession
+    points = written(points.select("pid", "x", "y").distinct())
     rows = sorted(tuple(r) for r in centres.select("cid", "cx", "cy").collect())
-    for _ in range(iterations):
+    for _ in range(iterations if rows else 0):
         now = spark.createDataFrame(rows, "cid long, cx double, cy double")
-        moved = sorted(tuple(r) for r in lloyd_step(points, now).select("cid", F.col("cx").cast("double"), F.col("cy").cast("double")).collect())
+        moved = sorted(tuple(r) for r in _moved(_owned_by(points, rows), now).select("cid", F.col("cx").cast("double"), F.col("cy").cast("double")).collect())
         if moved == rows:
             break
         rows = moved

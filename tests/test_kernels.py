@@ -237,6 +237,26 @@ def test_poisson_disk_is_greedy_in_hash_order(spark, few, monkeypatch):
     assert sampling.poisson_disk(df.where("false"), 5).collect() == []
 
 
+def test_nearest_centres_need_one_shuffle(spark):
+    pts = spark.range(40).selectExpr("id as pid", "double(id % 7) as x", "double(id % 5) as y")
+    centres = spark.createDataFrame([(2, 0.0, 0.0), (1, 6.0, 4.0), (3, 6.0, 4.0)], "cid long, cx double, cy double")
+    got = sampling.nearest_centre(pts, centres)
+    want = {r.pid: min(((r.x - a) ** 2 + (r.y - b) ** 2, c) for c, a, b in ((2, 0, 0), (1, 6, 4), (3, 6, 4))) for r in pts.collect()}
+    assert {r.pid: (r.d2, r.cid) for r in got.collect()} == want
+    assert sampling.nearest_centre(pts, centres.where("false")).collect() == []
+
+
+def test_lloyd_repeats_steps(spark):
+    r = np.random.default_rng(1)
+    pts = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(r.integers(0, 30, (300, 2)))], "pid long, x int, y int")
+    now = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(6)], "cid long, cx double, cy double")
+    want = now
+    for _ in range(2):
+        want = spark.createDataFrame(sampling.lloyd_step(pts, want).selectExpr("cid", "double(cx) as cx", "double(cy) as cy").collect(), now.schema)
+    assert sorted(map(tuple, sampling.lloyd(pts, now, 2).collect())) == sorted(map(tuple, want.collect()))
+    assert sampling.lloyd(pts, now.where("false"), 2).collect() == []
+
+
 def test_balanced_grid_keeps_four(spark):
     df = spark.range(100).select(F.col("id").alias("pid"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.col("id").alias("score"))
     assert {r.pid for r in sampling.grid_balanced(df).collect()} == {96, 97, 98, 99}
