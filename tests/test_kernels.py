@@ -218,6 +218,14 @@ def test_repair_compares_the_lowest_of_cells(spark):
     assert sorted(r.pid for r in got.collect()) == sorted({j for _, j, _ in near})
 
 
+def test_close_pairs_broadcast_nothing(spark):
+    pts, near = crowd()
+    pairs = masks.close_pairs(spark.createDataFrame(pts, "pid long, x double, y double"), 5)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(near)
+    pairs = masks.close_pairs(spark.range(50).selectExpr("id as pid", "double(id) as x", "0d as y"), 5)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("few", [sampling.FEW, 8])
 def test_poisson_disk_is_greedy_in_hash_order(spark, few, monkeypatch):
     monkeypatch.setattr(sampling, "FEW", few)
