@@ -175,6 +175,15 @@ def test_pair_distances_of_many_suppliers(spark, tmp_path):
     assert QUERIES["jn13_pair_distances"](spark, str(tmp_path)).first().n == 20_001 * 20_000 // 2
 
 
+def asked(con, name, table, path):
+    """Rows of the query's SQL over a table of its own."""
+    from tessella.plans.queries import ORACLES
+
+    with con.cursor() as own:
+        own.sql(f"CREATE TEMP VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+        return sorted(own.sql(ORACLES[name]).fetchall())
+
+
 def crowd(seed=4):
     """Points with repeated ids and places, some without coordinates, in a dense and a sparse part."""
     r = np.random.default_rng(seed)
@@ -211,6 +220,18 @@ def test_worst_first_forms_no_pairs(spark, data):
     assert "d2" not in QUERIES["so03_worst_first"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_worst_first_of_crowded_parts(spark, tmp_path, duck):
+    from tessella.plans.queries import QUERIES
+
+    crowded = spark.range(3000).selectExpr(  # with repeated keys, and nulls
+        "nullif(id - id % 50 div 49, 7) as p_partkey", "nullif(300.0d + id % 17 / 4, 302.0d) as p_retailprice", "nullif(int(id % 5), 3) as p_size", "'Brand#11' as p_brand"
+    )
+    crowded.write.parquet(str(tmp_path / "part.parquet"))
+    df = QUERIES["so03_worst_first"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == asked(duck, "so03_worst_first", "part", tmp_path)
+    assert "p_partkey" not in df._jdf.queryExecution().optimizedPlan().toString()  # parts aren't joined with parts, but written and counted
+
+
 def test_repair_compares_the_lowest_of_cells(spark):
     pts, near = crowd()
     df = spark.createDataFrame(pts, "pid long, x double, y double")
