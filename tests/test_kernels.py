@@ -184,6 +184,17 @@ def asked(con, name, table, path):
         return sorted(own.sql(ORACLES[name]).fetchall())
 
 
+def test_pair_distances_equal_sql_beyond_a_block(spark, tmp_path, duck):
+    from tessella.plans.queries import QUERIES
+
+    keys = spark.range(20_500).selectExpr("nullif(id - id % 50 div 49, 7) as s_suppkey")  # with repeated keys and a null
+    keys.write.parquet(str(tmp_path / "supplier.parquet"))
+    got = QUERIES["jn13_pair_distances"](spark, str(tmp_path)).collect()
+    (n, mean, far), = asked(duck, "jn13_pair_distances", "supplier", tmp_path)
+    assert len(got) == 1 and got[0].n == n > 200_000_000
+    assert np.allclose([got[0]["mean"], got[0].far], [mean, far], rtol=1e-9)
+
+
 def crowd(seed=4):
     """Points with repeated ids and places, some without coordinates, in a dense and a sparse part."""
     r = np.random.default_rng(seed)
