@@ -258,6 +258,30 @@ def test_close_pairs_broadcast_nothing(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fast_rounding_is_rounding(spark):
+    from tessella.plans.registry import rounded
+
+    rng = np.random.default_rng(5)
+    ties = (rng.integers(-(10**8), 10**8, 3000) + 0.5) / 1e6
+    some = [*ties, *np.nextafter(ties, 0), *np.nextafter(ties, np.inf), *(rng.random(3000) * 1600), *(10.0 ** rng.uniform(-12, 300, 3000))]
+    some = [*map(float, some), 0.0, -0.0, -1e-9, 999999.9999995, 1e6, -1e6, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in some], "v double").select((rounded(F.col("v")) + 0.0).alias("a"), (F.round("v", 6) + 0.0).alias("b"))
+    assert df.where("not (a <=> b) or string(a) <> string(b)").collect() == []
+
+
+def test_close_pairs_of_crowded_parts(spark, tmp_path, duck):
+    from tessella.plans.queries import QUERIES
+
+    crowded = spark.range(1500).selectExpr(  # with repeated keys, and nulls
+        "nullif(id - id % 50 div 49, 7) as p_partkey", "nullif(300.0d + id % 17 / 7, 302.0d) as p_retailprice", "nullif(int(id % 5), 3) as p_size", "'Brand#11' as p_brand"
+    )
+    crowded.write.parquet(str(tmp_path / "part.parquet"))
+    df = QUERIES["jn09_close_pairs"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == asked(duck, "jn09_close_pairs", "part", tmp_path)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.splitlines()[0] and "rint" in plan.lower()  # no decimal is made for each pair
+
+
 @pytest.mark.parametrize("few", [sampling.FEW, 8])
 def test_poisson_disk_is_greedy_in_hash_order(spark, few, monkeypatch):
     monkeypatch.setattr(sampling, "FEW", few)
